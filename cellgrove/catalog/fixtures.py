@@ -97,3 +97,51 @@ def rounded(df, digits=6):
         if f.dataType.simpleString() == "double":
             df = df.withColumn(f.name, F.round(f.name, digits))
     return df
+
+
+def u8_cells(read):
+    """Each raster scaled to whole numbers 0..255."""
+    from cellgrove.functions.colour import to_u8
+    from cellgrove.operators.masked import normalise
+
+    scaled = normalise(cells(read), "v", "fov", "n")
+    return scaled.withColumn("v8", to_u8(F.col("n")))
+
+
+U8 = (
+    CELLS
+    + """, edges AS (SELECT image_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi,
+  min(v) AS mn, max(v) AS mx FROM cells WHERE fov GROUP BY image_id),
+u8 AS (SELECT c.*, n, floor(n * 255.0) AS v8 FROM (SELECT c.*,
+  CASE WHEN hi > lo THEN least(greatest((v - lo) / (hi - lo), 0.0), 1.0)
+       WHEN mx > mn THEN least(greatest((v - mn) / (mx - mn), 0.0), 1.0) ELSE 0.0 END AS n
+  FROM cells c JOIN edges USING (image_id)) c)"""
+)
+
+_FOLD = {
+    "reflect": "CASE WHEN {u} < 0 THEN -1 - ({u}) WHEN {u} > 7 THEN 15 - ({u}) ELSE {u} END",
+    "reflect101": "CASE WHEN {u} < 0 THEN -({u}) WHEN {u} > 7 THEN 14 - ({u}) ELSE {u} END",
+    "replicate": "least(greatest({u}, 0), 7)",
+    "constant": "{u}",
+}
+
+
+def window_sql(table: str, taps: list[tuple], border: str, aggs: str, where: str = "true") -> str:
+    """Stencil over an 8 x 8 raster: c is the target, n the cell read, k the tap (dy, dx, w0, ...)."""
+    width = len(taps[0])
+    names = ", ".join(["dy", "dx", *[f"w{i}" for i in range(width - 2)]])
+    rows = ", ".join("(" + ", ".join(f"{t}" if i < 2 else f"{t!r}::DOUBLE" for i, t in enumerate(tap)) + ")" for tap in taps)
+    fold = _FOLD[border]
+    return f"""SELECT c.image_id, c.y, c.x, {aggs} FROM {table} c CROSS JOIN (VALUES {rows}) k({names})
+  JOIN {table} n ON n.image_id = c.image_id AND n.y = {fold.format(u='c.y + k.dy')} AND n.x = {fold.format(u='c.x + k.dx')}
+  WHERE {where} GROUP BY c.image_id, c.y, c.x"""
+
+
+def taps_of(*kernels):
+    """Taps of one or more kernel tables over their joint support."""
+    support = sorted({k for ker in kernels for k in ker})
+    return [(*k, *[ker.get(k, 0.0) for ker in kernels]) for k in support]
+
+
+def pick(df, *cols, digits=6):
+    return rounded(df.select("image_id", "y", "x", *cols), digits)

@@ -12,11 +12,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrove.operators.quantiles import MAX_CELLS
+
 KEY = ["image_id", "y", "x"]
 FRAME = ["image_id", "h", "w"]
 GRID = ["image_id", "h", "w", "y", "x"]
 #: Bound on a raster's cell count, known from its own row.
-SIZE = F.col("h").cast("long") * F.col("w")
+SIZE = "cast(h as bigint) * w"
 
 
 def to_cells(df: DataFrame, id_col: str, arr_col: str, w: int, h: int, out: str = "v") -> DataFrame:
@@ -24,7 +26,7 @@ def to_cells(df: DataFrame, id_col: str, arr_col: str, w: int, h: int, out: str
     flat = df.select(F.col(id_col).alias("image_id"), F.posexplode(arr_col).alias("_pos", "_v"))
     return flat.select(
         "image_id",
-        F.lit(h).alias("h"),
+        F.lit(h).alias("h", metadata={MAX_CELLS: h * w, "max_side": max(h, w)}),
         F.lit(w).alias("w"),
         F.floor(F.col("_pos") / w).cast("int").alias("y"),
         (F.col("_pos") % w).cast("int").alias("x"),

@@ -39,7 +39,8 @@ def _images(axis: str, size: str, r: int, border: str) -> Column:
         f"array({axis} + m * {period}, {twin} + m * {period}))), u -> u between -{r} and {size} - 1 + {r}))"
     )
     # cells away from the edge show up once only
-    return F.expr(f"if({axis} >= {r} and {axis} < {size} - {r}, array({axis}), {sql})")
+    margin = r if border == "reflect" else r + 1
+    return F.expr(f"if({axis} >= {margin} and {axis} < {size} - {margin}, array({axis}), {sql})")
 
 
 def neighbourhood(
@@ -54,13 +55,13 @@ def neighbourhood(
     ``taps`` is a list of ``(dy, dx, *weights)``; a target cell t reads the cell
     at ``t + (dy, dx)``. ``aggs`` are aggregate expressions over the source
     columns, the named ``weights``, ``dy``/``dx`` and ``is_centre``. All other
-    columns of ``df`` are carried through the same aggregate.
+    columns of ``df`` are carried through the same aggregate. The centre always
+    takes part; windows without it give it zero weight or test ``dy``/``dx``.
     """
     if border not in BORDERS:
         raise ValueError(border)
     if not any(t[0] == 0 and t[1] == 0 for t in taps):
         taps = [(0, 0, *([0.0] * len(weights))), *taps]
-        aggs = {k: v for k, v in aggs.items()}
     ry = max(abs(t[0]) for t in taps)
     rx = max(abs(t[1]) for t in taps)
     literal = ", ".join(

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 #: bracketed path below, whose state does not grow with the group.
 PLAIN_GROUP_ROWS = 1 << 22
 _SKETCH_ACCURACY = 10_000
+#: Metadata key on column ``h``: the largest raster of the table, in cells.
+MAX_CELLS = "max_cells"
 
 Spec = tuple[Column, float]
 
@@ -20,25 +22,29 @@ def group_stats(
     by: list[str],
     percentiles: dict[str, Spec],
     aggs: dict[str, Column] | None = None,
-    size: Column | None = None,
+    size: str | None = None,
     plain_rows: int = PLAIN_GROUP_ROWS,
 ) -> DataFrame:
     """One row per group with linear-interpolation percentiles and other aggregates.
 
     ``percentiles`` maps an output name to ``(value, p)``; NULL values are left
-    out, so a mask is written as ``F.when(mask, value)``. ``size`` is a column
-    known to bound the group's row count (for rasters ``h * w``); with constant
-    dimensions the optimizer drops the unused branch. Without it every group
-    takes the bracketed path.
+    out, so a mask is written as ``F.when(mask, value)``. ``size`` is an
+    expression known to bound the group's row count (for rasters ``h * w``).
+    Cell tables whose source knows its largest raster say so in the metadata of
+    ``h``; then one branch suffices. Without ``size`` every group takes the
+    bracketed path.
     """
     aggs = aggs or {}
     plain_cols = [a.alias(n) for n, a in aggs.items()] + [
         F.percentile(v, F.lit(float(p))).alias(n) for n, (v, p) in percentiles.items()
     ]
+    bound = df.schema["h"].metadata.get(MAX_CELLS) if size and "h" in df.columns else None
+    if not percentiles or (bound is not None and bound <= plain_rows):
+        return df.groupBy(*by).agg(*plain_cols)
     if size is None:
         return _bracketed(df, by, percentiles, aggs)
-    small = df.filter(size <= plain_rows).groupBy(*by).agg(*plain_cols)
-    large = _bracketed(df.filter(size > plain_rows), by, percentiles, aggs)
+    small = df.filter(F.expr(size) <= plain_rows).groupBy(*by).agg(*plain_cols)
+    large = _bracketed(df.filter(F.expr(size) > plain_rows), by, percentiles, aggs)
     return small.unionByName(large)
 
 
