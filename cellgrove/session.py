@@ -53,4 +53,11 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.__dict__["stored"] = True
+    return stored
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` as a written table, for steps that read it several times."""
+    return df if df.__dict__.get("stored") else cut(df)
