@@ -125,8 +125,8 @@ def component_stats(
         zero(F.var_samp(x)).alias("var_x"),
         zero(F.var_samp(y)).alias("var_y"),
         zero(F.covar_samp(x, y)).alias("cov_xy"),
-        *[F.avg(v).alias(f"mean_{v}") for v in values],
-        *[F.max(v).alias(f"max_{v}") for v in values],
+        *[F.avg(v).alias(f"mean_{v}") for v in dict.fromkeys(values)],
+        *[F.max(v).alias(f"max_{v}") for v in dict.fromkeys(values)],
         *[F.count_if(F.col(c)).alias(f"n_{c}") for c in counts],
         *[a.alias(n) for n, a in (extra or {}).items()],
     )
