@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellgrove.session import tune
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 _MODULES = (
@@ -30,6 +32,7 @@ def query(name: str, sql: str | None = None):
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
             return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         run.__name__ = name

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrove.operators.quantiles import MAX_CELLS
+from cellgrove.session import spread
 
 KEY = ["image_id", "y", "x"]
 FRAME = ["image_id", "h", "w"]
@@ -23,7 +24,7 @@ SIZE = "cast(h as bigint) * w"
 
 def to_cells(df: DataFrame, id_col: str, arr_col: str, w: int, h: int, out: str = "v") -> DataFrame:
     """Explode a row-major array column into cells."""
-    flat = df.select(F.col(id_col).alias("image_id"), F.posexplode(arr_col).alias("_pos", "_v"))
+    flat = spread(df.select(id_col, arr_col), id_col).select(F.col(id_col).alias("image_id"), F.posexplode(arr_col).alias("_pos", "_v"))
     return flat.select(
         "image_id",
         F.lit(h).alias("h", metadata={MAX_CELLS: h * w, "max_side": max(h, w)}),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cellgrove.functions import kernels as K
 from cellgrove.functions.colour import clip
 from cellgrove.operators.cells import SIZE, join_stats
-from cellgrove.operators.masked import normalise
-from cellgrove.operators.neighbourhood import correlate_many, neighbourhood, separable
+from cellgrove.operators.masked import inside, normalise
+from cellgrove.operators.neighbourhood import correlate_many, neighbourhood, separable, separable_many
 from cellgrove.operators.quantiles import group_stats
 
 
@@ -19,6 +19,40 @@ def gaussian(df: DataFrame, value: str, sigma: float, border: str, out: str, rad
     return separable(df, value, K.gaussian_line(sigma, radius=radius), border, out)
 
 
+def dark_scales(
+    df: DataFrame, value: str, mask: str, groups: dict[str, tuple[float, ...]], smooth: float, border: str, out: str
+) -> DataFrame:
+    """How much darker a cell is than its surroundings, at several scales.
+
+    Each scale's rectified difference is smoothed and scaled per image inside
+    the mask. Every group of sigmas yields one column ``<out>_<group>``, its
+    largest value per cell. All scales share two stencil passes for the
+    surroundings, two for the smoothing and one statistics pass.
+    """
+    sigmas = sorted({s for g in groups.values() for s in g})
+    wide = separable_many(df, {f"_b{i}": (value, K.gaussian_line(s)) for i, s in enumerate(sigmas)}, border)
+    dark = wide.withColumns({f"_d{i}": F.greatest(F.col(f"_b{i}") - F.col(value), F.lit(0.0)) for i in range(len(sigmas))})
+    dark = dark.drop(*[f"_b{i}" for i in range(len(sigmas))])
+    line = K.gaussian_line(smooth)
+    soft = separable_many(dark, {f"_e{i}": (f"_d{i}", line) for i in range(len(sigmas))}, border)
+    soft = soft.drop(*[f"_d{i}" for i in range(len(sigmas))])
+    spec, aggs = {}, {}
+    for i in range(len(sigmas)):
+        v = inside(f"_e{i}", mask)
+        spec |= {f"_lo{i}": (v, 0.01), f"_hi{i}": (v, 0.99)}
+        aggs |= {f"_mn{i}": F.min(v), f"_mx{i}": F.max(v)}
+    at = join_stats(soft, group_stats(soft, ["image_id"], spec, aggs, SIZE))
+    scaled = {}
+    for i, s in enumerate(sigmas):
+        spread = F.col(f"_hi{i}") > F.col(f"_lo{i}")
+        low = F.when(spread, F.col(f"_lo{i}")).otherwise(F.col(f"_mn{i}"))
+        high = F.when(spread, F.col(f"_hi{i}")).otherwise(F.col(f"_mx{i}"))
+        unit = F.when(F.col(mask) & (high > low), clip((F.col(f"_e{i}") - low) / (high - low)))
+        scaled[s] = F.coalesce(unit, F.lit(0.0))
+    cols = {f"{out}_{g}": F.greatest(F.lit(0.0), *[scaled[s] for s in members]) for g, members in groups.items()}
+    return at.withColumns(cols).drop(*spec, *aggs, *[f"_e{i}" for i in range(len(sigmas))])
+
+
 def box(df: DataFrame, value: str, k: int, border: str, out: str) -> DataFrame:
     return separable(df, value, K.box_line(k), border, out)
 

@@ -126,6 +126,19 @@ def correlate(df: DataFrame, value: str, kernel: dict, border: str, out: str) ->
     return correlate_many(df, value, {out: kernel}, border)
 
 
+def separable_many(df: DataFrame, specs: dict[str, tuple[str, dict[int, float]]], border: str) -> DataFrame:
+    """Several separable filters, out -> (column, 1-D kernel), in two passes altogether."""
+    reach = sorted({d for _, line in specs.values() for d in line} | {0})
+    names = tuple(f"_w{i}" for i in range(len(specs)))
+    lines = [line for _, line in specs.values()]
+    weights = [[line.get(d, 0.0) for line in lines] for d in reach]
+    row = {f"_s{i}": F.sum(F.col(c) * F.col(names[i])) for i, (c, _) in enumerate(specs.values())}
+    col = {out: F.sum(F.col(f"_s{i}") * F.col(names[i])) for i, out in enumerate(specs)}
+    first = neighbourhood(df, [(0, d, *w) for d, w in zip(reach, weights)], row, border, names)
+    second = neighbourhood(first, [(d, 0, *w) for d, w in zip(reach, weights)], col, border, names)
+    return second.drop(*row)
+
+
 def separable(df: DataFrame, value: str, taps: dict[int, float], border: str, out: str) -> DataFrame:
     """Row pass then column pass of a 1-D kernel: 2k taps instead of k squared."""
     first = correlate(df, value, {(0, d): w for d, w in taps.items()}, border, "_sep")

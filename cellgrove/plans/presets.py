@@ -241,22 +241,13 @@ def boost_dark(z: Sizes = FULL, source: str = "green", out: str = "boosted") ->
         step("gaussian", "bbg", value="bf", sigma=z.background, border="reflect101"),
         step("flatten", "bflat", value="bf", background="bbg", mask="fov", mode="divide_median"),
     ]
-    scaled = []
-    for i, sigma in enumerate((2.0 if z is FULL else 0.8, *z.dark)):
-        steps += [
-            step("gaussian", f"sb{i}", value="bflat", sigma=sigma, border="reflect101"),
-            step("sql", f"sd{i}", text=f"greatest(sb{i} - bflat, 0D)"),
-            step("gaussian", f"ss{i}", value=f"sd{i}", sigma=0.35, border="reflect101"),
-            step("normalise", f"sn{i}", value=f"ss{i}", mask="fov", variant="masked"),
-        ]
-        scaled.append(f"sn{i}")
-    many = scaled[1:]
+    groups = {"near": (2.0 if z is FULL else 0.8,), "many": z.dark}
     steps += [
-        step("sql", "multi", text=f"greatest({', '.join(many)}, 0D)"),
-        _u8("multi", "multi8"),
+        step("dark_scales", "dk", value="bflat", mask="fov", groups=groups, smooth=0.35, border="reflect101"),
+        _u8("dk_many", "multi8"),
         step("median", "multim", value="multi8", k=3),
         step("sql", "multiz", text="if(fov, multim / 255D, 0D)"),
-        step("fuse", "vb", weights={"sn0": 0.35, "multiz": 0.65}, mask="fov"),
+        step("fuse", "vb", weights={"dk_near": 0.35, "multiz": 0.65}, mask="fov"),
         step("sql", "deep", text="bflat - 42D * vb"),
         step("gaussian", "deeps", value="deep", sigma=0.25, border="reflect101"),
         step("stretch", out, value="deeps", mask="fov", lo=0.007, hi=0.993),

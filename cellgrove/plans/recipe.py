@@ -159,6 +159,7 @@ OPS: dict[str, tuple[Callable[..., DataFrame], int]] = {
     "flatten": (lambda df, out, **k: X.flatten(df, out=out, **k), 2),
     "contrast": (lambda df, out, **k: X.residual_contrast(df, out=out, **k), 2),
     "gaussian": (lambda df, out, **k: T.gaussian(df, out=out, **k), 1),
+    "dark_scales": (lambda df, out, **k: T.dark_scales(df, out=out, **k), 2),
     "box": (lambda df, out, **k: T.box(df, out=out, **k), 1),
     "bank": (lambda df, out, **k: T.filter_bank_max(df, out=out, **k), 1),
     "dog": (lambda df, out, **k: T.dog_response(df, out=out, **k), 1),
@@ -235,25 +236,47 @@ def run_recipe(df: DataFrame, steps: list[Step], keep: list[str]) -> DataFrame:
     return df.select(*GRID, *keep)
 
 
+def _common(lists: list[list[Step]]) -> int:
+    """How many leading steps all lists share."""
+    n = 0
+    while all(len(r) > n for r in lists) and all(r[n] == lists[0][n] for r in lists):
+        n += 1
+    return n
+
+
 def run_variants(df: DataFrame, recipes: dict[str, list[Step]], keep: list[str]) -> DataFrame:
     """Run several recipes on one input; rows carry the recipe's name in ``variant``.
 
-    Steps that all recipes begin with are run once and written out.
+    Steps all recipes begin with run once, before they part. Steps all recipes
+    end with also run once, over the union, with (image, variant) as the raster
+    key: more rows per job instead of more jobs.
     """
     lists = list(recipes.values())
-    shared = 0
-    while all(len(r) > shared for r in lists) and all(r[shared] == lists[0][shared] for r in lists):
-        shared += 1
-    if shared:
-        later = set(keep).union(*[_words(s.params) for r in lists for s in r[shared:]])
-        made = [s.out for s in lists[0][:shared] if s.out in later]
-        base = [c for c in df.columns if c not in GRID]
-        df = run_recipe(df, lists[0][:shared], list(dict.fromkeys([*base, *made])))
+    head = _common(lists)
+    tail = _common([r[head:][::-1] for r in lists])
+    last = lists[0][len(lists[0]) - tail :]
+    read_by_last = set(keep).union(*[_words(s.params) for s in last]) if tail else set(keep)
+    if head:
+        later = read_by_last.union(*[_words(s.params) for r in lists for s in r[head:]])
+        given = [c for c in df.columns if c not in GRID]
+        made = [s.out for s in lists[0][:head]]
+        df = run_recipe(df, lists[0][:head], [c for c in dict.fromkeys([*given, *made]) if c in later])
     df = cut(df)
-    parts = [
-        run_recipe(df, steps[shared:], keep).withColumn("variant", F.lit(name)) for name, steps in recipes.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    given = [c for c in df.columns if c not in GRID]
+    parts = []
+    for name, steps in recipes.items():
+        own = steps[head : len(steps) - tail]
+        wanted = [c for c in dict.fromkeys([*given, *[s.out for s in own]]) if c in read_by_last]
+        # every branch must offer the same columns to the shared tail
+        parts.append((name, run_recipe(df, own, wanted), wanted))
+    same = [c for c in parts[0][2] if all(c in w for _, _, w in parts)]
+    union = None
+    for name, part, _ in parts:
+        key = F.struct(F.col("image_id").alias("id"), F.lit(name).alias("variant")).alias("image_id")
+        part = part.select(key, *[c for c in GRID if c != "image_id"], *same)
+        union = part if union is None else union.unionByName(part)
+    if tail:
+        union = run_recipe(cut(union), last, keep)
+    return union.select(
+        F.col("image_id.id").alias("image_id"), *[c for c in GRID if c != "image_id"], *keep, F.col("image_id.variant").alias("variant")
+    )

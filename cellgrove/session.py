@@ -26,6 +26,25 @@ def local_session(cpus: int | str = "*", app: str = "cellgrove") -> SparkSession
     )
 
 
+def tune(spark: SparkSession) -> None:
+    """Session settings this library relies on; all can be changed at run time.
+
+    Stencil and histogram stages do far more work per byte than a scan, so
+    merging shuffle partitions up to the usual size would leave cores idle.
+    Partitions may be this small only while there are fewer of them than cores.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a source with fewer splits than cores by key; larger ones are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
