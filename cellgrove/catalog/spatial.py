@@ -7,6 +7,7 @@ from cellgrove.catalog.fixtures import LABELS, MASKED, masked_cells, rounded
 from cellgrove.operators import components as P
 from cellgrove.operators import skeleton as K
 from cellgrove.operators import spatial as H
+from cellgrove.session import cut
 
 ENDS = f"""WITH {MASKED}, {LABELS}, pc AS (SELECT m.image_id, m.y, m.x, l.comp FROM masked m JOIN labels8 l ON l.image_id = m.image_id AND l.pos = m.y * 8 + m.x),
 ends AS (SELECT a.image_id, a.y, a.x, a.comp FROM pc a JOIN pc b ON b.image_id = a.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
@@ -20,7 +21,7 @@ dirs AS (SELECT image_id, y, x, comp, CASE WHEN sqrt(vy * vy + vx * vx) > 1e-6 T
 
 
 def endpoints(read):
-    lab = K.line_points(P.label(masked_cells(read), "pred"), "pred")
+    lab = cut(K.line_points(P.label(masked_cells(read), "pred"), "pred"))
     lines = lab.filter("pred").select("image_id", "y", "x")
     ends = lab.filter("endpoint").select("image_id", "y", "x", "comp")
     return H.outward_direction(ends, lines, radius=3)

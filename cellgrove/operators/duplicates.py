@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +13,6 @@ from cellgrove.operators.graph import connected_components
 
 #: Rows of one grid cell that a single join task compares at a time.
 CELL_ROWS = 256
-#: Longest inner product written out as one compiled expression.
-UNROLLED = 128
 
 
 def exact_duplicates(df: DataFrame, id_col: str, content: str, label: str) -> DataFrame:
@@ -54,13 +51,6 @@ def standardised(vec: Column) -> Column:
     )
 
 
-def inner_product(a: str, b: str, length: int) -> Column:
-    """Inner product of two arrays: compiled term by term when short, else folded."""
-    if length <= UNROLLED:
-        return reduce(lambda x, y: x + y, [F.col(a)[i] * F.col(b)[i] for i in range(length)])
-    return total(F.zip_with(a, b, lambda p, q: p * q))
-
-
 def _low_frequencies(length: int, count: int) -> list[list[float]]:
     """Orthonormal cosine directions; images keep most of their energy there."""
     return [
@@ -133,7 +123,7 @@ def ncc_pairs(
     met = left.join(right, [*keys, "salt"]).filter(
         (gap <= reach * reach) & (~F.col("same_cell") | (F.col("ia") < F.col("ib")))
     )
-    ncc = inner_product("ua", "ub", length)
+    ncc = total(F.zip_with("ua", "ub", lambda p, q: p * q))
     near = met.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), ncc.alias("ncc")).filter(
         F.col("ncc") >= threshold
     )
