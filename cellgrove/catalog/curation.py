@@ -104,7 +104,13 @@ def _(read):
     return dealt.select("o_orderkey", "fold")
 
 
-@query("B7_group_kfold_documents")
+@query(
+    "B7_group_kfold_documents",
+    f"""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL),
+g AS (SELECT source, CAST(sum(n) AS BIGINT) AS size, arg_max(lang, (n, lang)) AS dom FROM c GROUP BY source),
+r AS (SELECT source, (row_number() OVER (PARTITION BY dom ORDER BY size DESC, md5(concat(source, ':{SEED}'))) - 1) % 10 AS turn FROM g)
+SELECT doc_id, lang, source, CAST(CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS INTEGER) AS fold FROM documents JOIN r USING (source)""",
+)
 def _(read):
     dealt = S.stratified_group_kfold(docs(read), "lang", "source", 5, SEED)
     return dealt.select("doc_id", "lang", "source", "fold")

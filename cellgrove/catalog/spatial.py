@@ -44,9 +44,17 @@ def _(read):
     return rounded(H.pair_candidates(endpoints(read), 2.0, 5, 0.2001, 0.2001))
 
 
-@query("H2_pair_candidates_top")
+@query(
+    "H2_pair_candidates_top",
+    f"""{ENDS}, pr AS (SELECT a.image_id, a.y AS y0, a.x AS x0, b.y AS y1, b.x AS x1, sqrt(pow(b.y - a.y, 2) + pow(b.x - a.x, 2)) AS gap, a.dy AS ady, a.dx AS adx, b.dy AS bdy, b.dx AS bdx
+  FROM dirs a JOIN dirs b ON a.image_id = b.image_id AND (a.y < b.y OR (a.y = b.y AND a.x < b.x)) AND a.comp <> b.comp WHERE a.dy IS NOT NULL AND b.dy IS NOT NULL),
+al AS (SELECT *, ady * (y1 - y0) / gap + adx * (x1 - x0) / gap AS f1, -(bdy * (y1 - y0) / gap + bdx * (x1 - x0) / gap) AS f2 FROM pr WHERE gap >= 2 AND gap <= 6),
+rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gap - 8.0 * least(f1, f2), y0, x0, y1, x1) AS rank FROM al WHERE f1 >= 0.2001 AND f2 >= 0.2001)
+SELECT image_id, y0, x0, y1, x1, round(gap, 6) AS gap, round(f1, 6) AS align_first, round(f2, 6) AS align_second, round(gap - 8.0 * least(f1, f2), 6) + 0.0 AS score, CAST(rank AS INTEGER) AS rank
+FROM rk WHERE rank <= 3""",
+)
 def _(read):
-    return rounded(H.pair_candidates(endpoints(read), 2.0, 6, 0.20, 0.20, n=3))
+    return rounded(H.pair_candidates(endpoints(read), 2.0, 6, 0.2001, 0.2001, n=3))
 
 
 @query(

@@ -89,17 +89,22 @@ def _(read):
     return pick(T.filter_bank_max(cells(read), "v", LINES, "reflect", "r"), "r")
 
 
-@query("F2_gabor_bank_full")
+GABOR_FULL = T.gabor_bank(T.GABOR_SCALES[:2], 30)
+MATCHED_FULL = T.matched_bank(T.MATCHED_FINE, 30)
+DOGS = [K.difference(K.gaussian(s), K.gaussian(s * 1.4)) for s in (0.5, 0.8)]
+
+
+@query("F2_gabor_bank_full", bank_sql(GABOR_FULL))
 def _(read):
-    return pick(T.filter_bank_max(cells(read), "v", T.gabor_bank(T.GABOR_SCALES[:2], 30), "reflect", "r"), "r")
+    return pick(T.filter_bank_max(cells(read), "v", GABOR_FULL, "reflect", "r"), "r")
 
 
-@query("F2_matched_bank_fine")
+@query("F2_matched_bank_fine", bank_sql(MATCHED_FULL))
 def _(read):
-    return pick(T.filter_bank_max(cells(read), "v", T.matched_bank(T.MATCHED_FINE, 30), "reflect", "r"), "r")
+    return pick(T.filter_bank_max(cells(read), "v", MATCHED_FULL, "reflect", "r"), "r")
 
 
-@query("F2_dog_response")
+@query("F2_dog_response", bank_sql(DOGS))
 def _(read):
     return pick(T.dog_response(cells(read), "v", (0.5, 0.8), 1.4, "reflect", "r"), "r")
 
@@ -197,7 +202,12 @@ def _(read):
     return pick(T.local_std(u8_cells(read), "v8", 3, "sd"), "sd", digits=5)
 
 
-@query("F6_noise_maps")
+@query(
+    "F6_noise_maps",
+    f"""WITH {U8}, g AS ({window_sql('u8', taps_of(K.gaussian(0.8)), 'reflect', 'sum(n.v8 * k.w0) AS g')}),
+md AS ({window_sql('u8', K.square(3), 'replicate', 'median(n.v8) AS m')})
+SELECT image_id, y, x, round(abs(v8 - g), 6) AS high_frequency, round(abs(v8 - m), 6) AS residual FROM u8 JOIN g USING (image_id, y, x) JOIN md USING (image_id, y, x)""",
+)
 def _(read):
     return pick(T.noise_maps(u8_cells(read), "v8", 0.8, 3), "high_frequency", "residual")
 
@@ -242,9 +252,44 @@ def _(read):
     return pick(T.hessian_response(cells(read), "v", SIGMAS, "jerman", "fov", "j", radius=2), "j")
 
 
+def _hessian_sql(method):
+    """Per-scale response from eigenvalues: hi is the larger, -s the smaller one."""
+    tops, scores = [], []
+    for i, sigma in enumerate(SIGMAS):
+        s, hi, t, q = f"s{i}", f"hi{i}", f"t{i}", repr(sigma * sigma)
+        x, y = f"({hi} - {s} / 3)", f"({hi} / 3 - {s})"
+        neurite = f"greatest(-(CASE WHEN abs({x}) > abs({y}) THEN {x} ELSE {y} END), 0.0)"
+        blob = f"exp(-({hi} * {hi}) / (2 * ({s} * {s} + 1e-6)))"
+        rho = f"least(greatest({s} / (0.9 * {t}), 0.0), 1.0)"
+        l1 = f"(CASE WHEN abs({s}) >= abs({hi}) THEN {hi} ELSE -{s} END * {q})"
+        l2 = f"(CASE WHEN abs({s}) >= abs({hi}) THEN -{s} ELSE {hi} END * {q})"
+        tops.append(
+            {
+                "jerman_smooth": f"quantile_cont({s}, 0.995) FILTER (fov AND {s} > 0)",
+                "frangi": f"max(sqrt({hi} * {hi} + {s} * {s}) * {q}) / 2",
+                "sato": "max(0)",
+                "meijering": f"max({neurite})",
+            }[method]
+            + f" AS {t}"
+        )
+        scores.append(
+            {
+                "jerman_smooth": f"CASE WHEN {s} > 0 AND {t} > 0 THEN {rho} * {rho} * (3 - 2 * {rho}) * {blob} ELSE 0.0 END",
+                "frangi": f"CASE WHEN {l2} < 0 AND {t} > 0 THEN exp(-pow({l1} / {l2}, 2) / 0.5) * (1 - exp(-({l1} * {l1} + {l2} * {l2}) / (2 * {t} * {t}))) ELSE 0.0 END",
+                "sato": f"greatest({s}, 0.0) * {q}",
+                "meijering": f"CASE WHEN {t} > 0 THEN {neurite} / {t} ELSE 0.0 END",
+            }[method]
+        )
+    return f"""WITH {CELLS}, {HESS}, top AS (SELECT image_id, {', '.join(tops)} FROM eg GROUP BY image_id),
+r AS (SELECT image_id, y, x, fov, CASE WHEN fov THEN greatest(0.0, {', '.join(scores)}) ELSE 0.0 END AS v FROM eg JOIN top USING (image_id)),
+e AS (SELECT image_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi, min(v) AS mn, max(v) AS mx FROM r WHERE fov GROUP BY image_id)
+SELECT image_id, y, x, round(CASE WHEN hi > lo THEN least(greatest((v - lo) / (hi - lo), 0.0), 1.0) WHEN mx > mn THEN least(greatest((v - mn) / (mx - mn), 0.0), 1.0) ELSE 0.0 END, 6) AS r
+FROM r JOIN e USING (image_id)"""
+
+
 for _method in ("jerman_smooth", "frangi", "sato", "meijering"):
 
-    @query(f"F9_hessian_{_method}")
+    @query(f"F9_hessian_{_method}", _hessian_sql(_method))
     def _(read, method=_method):
         return pick(T.hessian_response(cells(read), "v", SIGMAS, method, "fov", "r", radius=2), "r")
 

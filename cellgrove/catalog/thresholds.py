@@ -71,7 +71,15 @@ def _(read):
     return pick(G.sauvola(u8_cells(read), "n", 5, 0.05, 0.5, "t"), "t")
 
 
-@query("G6_local_adaptive")
+@query(
+    "G6_local_adaptive",
+    f"""WITH {U8}, sg AS (SELECT *, 1.0 - abs(n - 0.6) AS s FROM u8), m AS ({window_sql('u8', square(5), 'reflect101', 'avg(n.n) AS m, avg(n.n * n.n) AS q')}),
+fl AS (SELECT image_id, greatest(0.02, quantile_cont(n, 0.35)) AS fn, greatest(0.02, quantile_cont(s, 0.35)) AS fs FROM sg WHERE fov GROUP BY image_id),
+ct AS (SELECT image_id, coalesce(quantile_cont(n, 0.78) FILTER (n > fn), quantile_cont(n, 0.78)) AS g, coalesce(quantile_cont(s, 0.48) FILTER (s > fs), quantile_cont(s, 0.48)) AS sf
+  FROM sg JOIN fl USING (image_id) WHERE fov GROUP BY image_id)
+SELECT image_id, y, x, fov AND n >= greatest(m * (1.0 + 0.05 * (sqrt(greatest(q - m * m, 0)) / 0.5 - 1.0)) + 0.03, g) AND s >= sf AS m
+FROM sg JOIN m USING (image_id, y, x) JOIN ct USING (image_id)""",
+)
 def _(read):
     df = u8_cells(read).withColumn("s", 1.0 - F.abs(F.col("n") - 0.6))
     return pick(G.local_adaptive(df, "n", "s", "fov", "m", window=5), "m")
