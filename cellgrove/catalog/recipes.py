@@ -157,3 +157,11 @@ def _(read):
 @query("P10_rim_mask")
 def _(read):
     return pick(run_recipe(photo(read), P.rim_mask(P.SMALL), ["rim"]), "rim")
+
+
+@query("C3_enhance_light")
+def _(read):
+    from cellgrove.operators.contrast import enhance_light
+
+    out = enhance_light(photo(read), ("red", "green", "blue"), "fov", tiles=P.SMALL.tiles_plain, sigma=0.8)
+    return pick(out, "enh_red", "enh_green", "enh_blue")

@@ -55,15 +55,15 @@ def clahe(df: DataFrame, value: str, clip_limit: float, tiles: tuple[int, int],
 
     keep = [c for c in df.columns if c not in GRID]
     asked = (
-        sized.withColumn("_a", F.explode(corners("y", "_th", ty_n)))
-        .withColumn("_b", F.explode(corners("x", "_tw", tx_n)))
+        sized.withColumn("_corner_y", F.explode(corners("y", "_th", ty_n)))
+        .withColumn("_corner_x", F.explode(corners("x", "_tw", tx_n)))
         .select(
             *GRID,
             *keep,
-            F.col("_a.t").alias("ty"),
-            F.col("_b.t").alias("tx"),
+            F.col("_corner_y.t").alias("ty"),
+            F.col("_corner_x.t").alias("tx"),
             F.col("_bin").alias("bin"),
-            (F.col("_a.f") * F.col("_b.f")).alias("_f"),
+            (F.col("_corner_y.f") * F.col("_corner_x.f")).alias("_f"),
             area.alias("area"),
         )
     )

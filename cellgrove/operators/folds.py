@@ -163,16 +163,18 @@ def weighted_sample(
 ) -> DataFrame:
     """n draws with replacement, each row with probability proportional to its weight.
 
-    Weights become whole numbers, so interval ends are exact. Rows own intervals
+    Weights become whole numbers, a million on average, so interval ends are
+    exact whatever the weights' scale. Rows own intervals
     of the running total; draws are uniform points. Both are sent to equal slots
     of the line and matched by one sorted pass per slot, so neither a heavy row
     nor a heavy class lands in one task.
     """
     spark = df.sparkSession
-    unit = 1_000_000
+    mean = df.agg(F.avg(weight).alias("mean"), F.count("*").alias("rows")).first()
+    unit = 1_000_000.0 / mean["mean"]
     weighed = df.select(id_col, F.round(weight * unit).cast("long").alias("_w")).filter("_w > 0")
-    row = weighed.agg(F.sum("_w").alias("total"), F.count("*").alias("rows")).first()
-    draws_n = n if n is not None else row["rows"]
+    row = weighed.agg(F.sum("_w").alias("total")).first()
+    draws_n = n if n is not None else mean["rows"]
     slots = max(1, draws_n // 100_000)
     width = -(-row["total"] // slots)
     key = hash_key(id_col, seed)

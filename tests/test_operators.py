@@ -179,3 +179,13 @@ def test_presets_are_made_of_known_operators():
         for name in presets.SOURCES:
             steps += presets.source_recipe(name, z)
         assert all(s.op in OPS for s in steps)
+
+
+def test_enhance_light_keeps_greys_grey(grid):
+    from cellgrove.operators.contrast import enhance_light
+
+    v = np.floor(np.random.default_rng(8).random((8, 8)) * 255)
+    df = grid({1: {"r": v, "g": v, "b": v, "m": np.ones((8, 8), bool)}})
+    rows = enhance_light(df, ("r", "g", "b"), "m", tiles=(2, 2), sigma=0.8).collect()
+    assert all(abs(r.enh_r - r.enh_g) <= 1 and abs(r.enh_g - r.enh_b) <= 1 for r in rows)
+    assert max(r.enh_g for r in rows) > min(r.enh_g for r in rows)
