@@ -32,9 +32,14 @@ def tune(spark: SparkSession) -> None:
     Stencil and histogram stages do far more work per byte than a scan, so
     merging shuffle partitions up to the usual size would leave cores idle.
     Partitions may be this small only while there are fewer of them than cores.
+
+    Skewed joins must be split even at the price of another shuffle: a stencil
+    after a join on the image could otherwise keep the join's partitioning and
+    with it one huge raster in one task.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
