@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import quality, simhash
+from cellgrove.llm import mixing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,3 +35,13 @@ def op8(read):
 @_query("op1_simhash_dedup")
 def op1(read):
     return simhash.near_duplicates(read("documents"))
+
+
+@_query("op7_pii", pii.spans_sql())
+def op7(read):
+    return pii.report(read("documents")).drop("scores")
+
+
+@_query("op4_mixing", mixing.report_sql())
+def op4(read):
+    return mixing.report(read("documents"))
