@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import mixing, pii, quality, simhash
+from cellgrove.llm import bpe, mixing, pii, quality, simhash, viterbi
+
+#: Place of the public tokenizer files, read on the driver only.
+WORD_BPE, UNIGRAM = "word_bpe_49k.json", "piece_bpe_32k.model"
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,3 +55,13 @@ def op7(read):
 @_query("op4_mixing", mixing.report_sql())
 def op4(read):
     return mixing.report(read("documents"))
+
+
+@_query("op3_bpe")
+def op3(read):
+    return bpe.report(read("documents"), tokenizer_file(WORD_BPE))
+
+
+@_query("op10_token_counts")
+def op10(read):
+    return viterbi.token_counts(read("documents"), viterbi.Unigram.read(tokenizer_file(UNIGRAM)))
