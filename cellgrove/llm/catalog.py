@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import bpe, chat, mixing, multiindex, pii, quality, simhash, viterbi
+from cellgrove.llm import bpe, chat, mixing, multiindex, pii, quality, simhash, toxicity, viterbi
 
 #: Place of the public tokenizer files, read on the driver only.
 WORD_BPE, UNIGRAM = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -81,3 +81,8 @@ def op6(read):
 @_query("op5_embedding_dedup")
 def op5(read):
     return multiindex.near_duplicates(read("embeddings"))
+
+
+@_query("op2_toxicity")
+def op2(read):
+    return toxicity.toxicity(read("documents"), read("labels"))
