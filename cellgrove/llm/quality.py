@@ -143,7 +143,9 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tup
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with all their columns unchanged."""
-    return judge(measure(docs, text), rules).filter("kept").select("_row.*")
+    # the row number keeps the filter above the projections, which would be repeated inside it
+    judged = judge(measure(docs, text), rules).withColumn("_n", F.monotonically_increasing_id())
+    return judged.filter("kept and _n >= 0").select("_row.*")
 
 
 def quality_sql(rules: tuple[Rule, ...] = RULES, source: str = "documents", where: str = "true") -> str:

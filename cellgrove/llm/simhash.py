@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrove.llm.common import packed
 from cellgrove.operators.graph import connected_components
 from cellgrove.session import cut
 
@@ -147,3 +148,138 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return fps.join(named, F.col("fp") == F.col("_fp")).select(
         F.col(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+#: Wide fingerprints for similarity: bits over distinct words that give the keys, in segments of 32,
+#: and bits over shingles that are compared, in boxes of 64 on a ring.
+KEY_BITS, KEY_WIDTH, WIDE, BOX, WIDE_CHAIN = 1280, 32, 1024, 64, 4
+#: Members of a key that are compared by a join; more are compared in blocks of this many.
+SMALL, CROWD_BLOCK = 24, 256
+_FEW = 4096
+
+
+def allowed(similarity: float) -> int:
+    """Differing bits of wide fingerprints at a Jaccard similarity of sets of equal size."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(np.arccos(cosine) / np.pi * WIDE)
+
+
+def _wide(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Fingerprint of many 64-bit hashes, each stretched to ``bits`` by mixing; as uint64 words."""
+    salt = (np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    ones = np.zeros(bits, np.int64)
+    for i in range(0, len(hashes), _FEW):
+        h = hashes[i : i + _FEW, None] ^ salt
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes)).view(np.uint64)
+
+
+def wide_fingerprints(text: str | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Key words (of 32 bits) and compared words (of 64) of one text, over distinct words and shingles."""
+    found = (text or "").encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    words = np.array([digest(w, 42) for w in set(found)], dtype=np.uint64)
+    shingles = {b" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))}
+    parts = np.array([digest(w, 42) for w in shingles], dtype=np.uint64)
+    return _wide(words, KEY_BITS).view(np.uint32).astype(np.int64), _wide(parts, WIDE).view(np.int64)
+
+
+def _parts_of(near: np.ndarray, ids: list) -> list[tuple]:
+    """Edges from the smallest member of each connected part of a symmetric matrix to the others."""
+    out, todo = [], near.any(1)
+    while todo.any():
+        part, size = np.zeros(len(ids), bool), 0
+        part[todo.argmax()] = True
+        while part.sum() != size:
+            size = part.sum()
+            part |= near[part].any(0)
+        todo &= ~part
+        members = sorted(ids[i] for i in part.nonzero()[0])
+        out += [(members[0], m) for m in members[1:]]
+    return out
+
+
+def similar_links(prints: DataFrame, distance: int) -> DataFrame:
+    """Edges ``a``, ``b`` between rows (``id``, ``keys``, ``fp``) that share a key and differ in at most ``distance`` bits.
+
+    Under a key with few members all are joined, chains of boxes first: if two
+    fingerprints are near, some box starts a chain whose cumulative differences
+    stay within its share of the distance. A crowded key is compared in blocks,
+    every block with every other, which gives forests and never pairs.
+    """
+    rows = prints.select("id", F.posexplode("keys").alias("place", "bits"))
+    sizes = rows.groupBy("place", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = cut(rows.join(sizes, ["place", "bits"]))
+    held = prints.select("id", "fp")
+    few = rows.filter(F.col("n") <= SMALL).select("place", "bits", "id").join(held, "id")
+    left = few.select("place", "bits", F.col("id").alias("a"), F.col("fp").alias("x"))
+    right = few.select("place", "bits", F.col("id").alias("b"), F.col("fp").alias("y"))
+    boxes = WIDE // BOX
+    differing = F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+
+    def near(d: Column) -> Column:
+        box = lambda start, n: F.get(d, F.pmod(start + n, F.lit(boxes)))
+
+        def chain(start: Column) -> Column:
+            total, ok = F.lit(0), F.lit(True)
+            for n in range(WIDE_CHAIN):
+                total = total + box(start, n)
+                ok = ok & (total <= (n + 1) * distance // boxes)
+            return ok
+
+        return F.exists(F.sequence(F.lit(0), F.lit(boxes - 1)), chain) & (F.aggregate(d, F.lit(0), lambda t, n: t + n) <= distance)
+
+    # the array of one binds the differences to a name, so they are worked out once
+    viable = F.exists(F.array(differing), near)
+    pairs = left.join(right, ["place", "bits"]).filter((F.col("a") < F.col("b")) & viable).select("a", "b")
+
+    many = rows.filter(F.col("n") > SMALL)
+    blocks = F.ceil(F.col("n") / CROWD_BLOCK).cast("int")
+    mine = many.withColumn("k", blocks).withColumn("m", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    sent = mine.select("place", "bits", "id", "m", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    sent = sent.select("place", "bits", "id", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j")).join(held, "id")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        ids = group["id"].tolist()
+        bits = np.unpackbits(np.stack([np.asarray(f, np.int64) for f in group["fp"]]).view(np.uint8), axis=1).astype(np.float32)
+        ones = bits.sum(1)
+        near = ones[:, None] + ones[None, :] - 2 * bits @ bits.T <= distance
+        np.fill_diagonal(near, False)
+        return pd.DataFrame(_parts_of(near, ids), columns=["a", "b"])
+
+    kind = prints.schema["id"].dataType.simpleString()
+    crowd = sent.groupBy("place", "bits", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    return pairs.unionByName(crowd).distinct()
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, unchanged, but only one of each group of near copies.
+
+    Near copies are texts whose ``size``-word shingles have at least the given
+    Jaccard similarity, as told by wide fingerprints (one bit in a hundred more
+    or less), and groups are closed under that. The row with the smallest key
+    stays; rows without key come last, equal keys are told apart by text, and of
+    equal rows one stays. Equal texts collapse before anything is compared. A
+    key of 32 bits over distinct words makes candidates; that is not certain to
+    find a pair, see the README for its recall.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    order = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), digest.alias("id"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            both = [wide_fingerprints(t, size) for t in b["_t"]]
+            yield pd.DataFrame({"id": b["id"], "keys": [k for k, _ in both], "fp": [f for _, f in both]})
+
+    least = cut(docs.select(order.alias("o")).groupBy("o.id").agg(F.min("o").alias("o")))
+    prints = docs.select(F.col(text).alias("_t"), digest.alias("id")).mapInPandas(run, "id binary, keys array<long>, fp array<long>")
+    prints = cut(prints.dropDuplicates(["id"]))
+    roots = connected_components(similar_links(prints, allowed(similarity)), "a", "b")
+    group = least.join(roots, least["id"] == roots["node"], "left").select("o", F.coalesce("root", "id").alias("g"))
+    stay = group.groupBy("g").agg(F.min("o").alias("o")).select(F.col("o.k").alias("_k"), F.col("o.id").alias("_id"))
+    rows = docs.select(packed(docs), F.col(key).alias("_key"), digest.alias("_digest"))
+    kept = rows.join(stay, (F.col("_digest") == F.col("_id")) & F.col("_key").eqNullSafe(F.col("_k")), "left_semi")
+    return kept.dropDuplicates(["_digest", "_key"]).select("_row.*")
