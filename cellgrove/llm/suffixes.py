@@ -39,7 +39,7 @@ HALF = (LENGTH + GRAM) // 2
 RUN, RANGE, BLOCK, SAMPLE = 100_000, 40_000, 2_000, 32
 _ODD = 0x9E3779B97F4A7C15
 _PIECE = 1 << 19
-_BITS = 20
+_PLACE = np.uint64((1 << 20) - 1)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,9 +57,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _least(grams: np.ndarray) -> np.ndarray:
+    """Smallest hash of the k-grams of each window, its place in the low bits; of equal ones the first."""
+    span = LENGTH - GRAM + 1
+    packed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    blocks = np.concatenate([packed, np.full(-len(packed) % span, ~np.uint64(0))]).reshape(-1, span)
+    left = np.minimum.accumulate(blocks, axis=1).ravel()
+    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    count = len(packed) - span + 1
+    return np.minimum(right[:count], left[span - 1 : span - 1 + count])
+
+
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the anchors of a text with hashes of the ``HALF`` bytes after and before (zero where it ends first)."""
-    at, after, before, span = [], [], [], LENGTH - GRAM + 1
+    at, after, before = [], [], []
     for begin in range(0, max(len(text) - LENGTH + 1, 0), _PIECE):
         # windows that start in this piece, with all bytes of the last one and of the contexts
         low = max(begin - HALF, 0)
@@ -67,15 +78,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * _POW[: len(part)], dtype=np.uint64)])
         n = min(len(text), begin + _PIECE + LENGTH - 1) - low
         grams = _mix((sums[GRAM : n + 1] - sums[: n + 1 - GRAM]) * _INV[: n + 1 - GRAM])[begin - low :]
-        mask = np.uint64((1 << _BITS) - 1)
-        packed = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
-        pad = -len(packed) % span
-        blocks = np.concatenate([packed, np.full(pad, ~np.uint64(0))]).reshape(-1, span)
-        left = np.minimum.accumulate(blocks, axis=1).ravel()
-        right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        count = len(packed) - span + 1
-        least = np.minimum(right[:count], left[span - 1 : span - 1 + count])
-        found = np.unique(least & mask).astype(np.int64) + begin
+        found = np.unique(_least(grams) & _PLACE).astype(np.int64) + begin
         here = found - low
         ok = here + HALF <= len(part)
         end = np.where(ok, here + HALF, here)
@@ -90,6 +93,44 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, np.concatenate(after)[keep].view(np.int64), np.concatenate(before)[keep].view(np.int64)
 
 
+def anchors_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Index of the text, position and both hashes of the anchors of many texts; short ones are handled together."""
+    group, size = [], 0
+    for n, t in enumerate([*texts, None]):
+        if group and (t is None or size + len(t) > _PIECE):
+            yield _together(group, [texts[i] for i in group])
+            group, size = [], 0
+        if t is None or len(t) < LENGTH:
+            continue
+        if len(t) > _PIECE:
+            at, after, before = anchors(t)
+            yield np.full(len(at), n), at, after, before
+        else:
+            group.append(n)
+            size += len(t)
+
+
+def _together(numbers: list[int], texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    n, ends = len(raw), np.cumsum([len(t) for t in texts])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * _POW[:n], dtype=np.uint64)])
+    grams = _mix((sums[GRAM:] - sums[: n + 1 - GRAM]) * _INV[: n + 1 - GRAM])
+    least = _least(grams)
+    whole = np.ones(len(least), bool)
+    for e in ends[:-1]:  # windows over the end of a text
+        whole[max(e - LENGTH + 1, 0) : e] = False
+    found = np.unique(least[whole] & _PLACE).astype(np.int64)
+    text = np.searchsorted(ends, found, "right")
+    begin = np.concatenate([[0], ends[:-1]])[text]
+    ok = found + HALF <= ends[text]
+    end = np.where(ok, found + HALF, found)
+    after = np.where(ok, _mix((sums[end] - sums[found]) * _INV[found]), 0)
+    ok = found + GRAM - HALF >= begin
+    first = np.where(ok, found + GRAM - HALF, found)
+    before = np.where(ok, _mix((sums[found + GRAM] - sums[first]) * _INV[first] + np.uint64(1)), 0)
+    return np.asarray(numbers)[text], found - begin, after.view(np.int64), before.view(np.int64)
+
+
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix, of which ``known`` bytes are known to be equal."""
     high = min(len(a), len(b))
@@ -205,9 +246,9 @@ def _merge(blocks: pd.DataFrame) -> pd.DataFrame:
         to_first[i] = min(to_first[i - 1], common[i])
     for i in range(len(strings) - 2, -1, -1):
         to_last[i] = min(to_last[i + 1], common[i + 1])
-    rows = [(part, i, s, sorted({*a, *b}), f, z) for i, s, a, b, f, z in zip(ids, strings, left, right, to_first, to_last)]
-    rows.append((part, None, strings[0], sorted(set(to_first)), len(strings[0]), to_first[-1]))
-    rows.append((part, None, strings[-1], sorted(set(to_last)), len(strings[-1]), -1))
+    rows = [(part, i, s, bytes({*a, *b}), f, z) for i, s, a, b, f, z in zip(ids, strings, left, right, to_first, to_last)]
+    rows.append((part, None, strings[0], bytes(sorted(set(to_first))), len(strings[0]), to_first[-1]))
+    rows.append((part, None, strings[-1], bytes(sorted(set(to_last))), len(strings[-1]), -1))
     return pd.DataFrame(rows, columns=["part", "id", "s", "depths", "to_first", "to_last"])
 
 
@@ -227,7 +268,7 @@ def _borders(sums: list) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
 
 
 def sorted_paths(strings: DataFrame) -> DataFrame:
-    """``id`` and ``path`` of distinct strings: array of (depth, name, alone), deepest last.
+    """``id`` and ``path`` of distinct strings: depth, alone or not, and name in 18 bytes an entry, deepest last.
 
     A suffix has the name of a path's entry at every depth from the entry before
     it up to its own; the last entry is the suffix itself. Names are hashes of
@@ -262,7 +303,7 @@ def sorted_paths(strings: DataFrame) -> DataFrame:
             yield send()
 
     blocks = strings.select("s", "id").mapInPandas(cut_runs, _BLOCK_SCHEMA)
-    merged = cut(blocks.groupBy("part").applyInPandas(_merge, "part int, id binary, s binary, depths array<int>, to_first int, to_last int"))
+    merged = cut(blocks.groupBy("part").applyInPandas(_merge, "part int, id binary, s binary, depths binary, to_first int, to_last int"))
     around = spark.sparkContext.broadcast(_borders(merged.filter("id is null").collect()))
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,66 +314,77 @@ def sorted_paths(strings: DataFrame) -> DataFrame:
                 depths = {*own, *[min(first, d) for d in before[part]], *[min(last, d) for d in after[part]]}
                 alone = len(s) not in depths  # no other suffix begins with this one
                 depths = sorted(d for d in depths if GRAM <= d < len(s)) + [len(s)]
-                paths.append([(d, xxhash.xxh3_128_digest(s[:d]), alone and d == len(s)) for d in depths])
+                paths.append(b"".join([bytes((d, alone and d == len(s))) + xxhash.xxh3_128_digest(s[:d]) for d in depths]))
             yield pd.DataFrame({"id": b["id"], "path": paths})
 
     return merged.filter("id is not null").select("part", "id", "s", "depths", "to_first", "to_last").mapInPandas(
-        name, "id binary, path array<struct<depth:int,name:binary,alone:boolean>>"
+        name, "id binary, path binary"
     )
 
 
-def _pairs(right: list, left: list) -> list[tuple[bytes, bytes, int, int, bool]]:
+def _entries(path: bytes) -> list[tuple[int, int, bytes]]:
+    return [(path[i], path[i + 1], path[i + 2 : i + 18]) for i in range(0, len(path), 18)]
+
+
+def _pairs(right: bytes, left: bytes) -> list[tuple[bytes, bytes, int, int, bool]]:
     """Node pairs of an anchor with the first and last offset of each, and whether no other context is in both."""
-    out, j = [], len(right) - 1
-    low = GRAM - 1
-    for u in left:
+    out, after = [], _entries(right)
+    j, low = len(after) - 1, GRAM - 1
+    for depth, alone, u in _entries(left):
         # offsets at which the prefix is in u: o + GRAM in (low, depth]
-        a, b = low + 1 - GRAM, min(u["depth"] - GRAM, LENGTH - GRAM)
-        low = u["depth"]
+        a, b = low + 1 - GRAM, min(depth - GRAM, LENGTH - GRAM)
+        low = depth
         for k in range(j, -1, -1):
-            v, under = right[k], right[k - 1]["depth"] if k else GRAM - 1
-            first, last = max(a, LENGTH - v["depth"]), min(b, LENGTH - 1 - under)
+            deep, single, v = after[k]
+            under = after[k - 1][0] if k else GRAM - 1
+            first, last = max(a, LENGTH - deep), min(b, LENGTH - 1 - under)
             if first <= last:
-                out.append((u["name"], v["name"], first, last, u["alone"] and v["alone"]))
+                out.append((u, v, first, last, bool(alone and single)))
             if LENGTH - 1 - under > b:
                 break
             j = k
     return out
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``spans`` (start and end in bytes, sorted, may overlap) of texts with repeated strings.
+def repeated(docs: DataFrame, key: str, mark: str, text: str) -> DataFrame:
+    """``key``, ``mark`` and ``spans`` (start and end in bytes, sorted, may overlap) of texts with repeated strings.
 
-    Keys must tell rows apart; ``remove`` sees to that.
+    ``key`` and the whole number ``mark`` together tell texts apart.
     """
-    slim = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    slim = docs.select(F.col(key).alias("_k"), F.col(mark).alias("_m"), F.col(text).alias("_t"))
     kind = docs.schema[key].dataType.simpleString()
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, t in zip(b["_k"], b["_t"]):
-                at, after, before = anchors((t or "").encode())
-                if len(at):
-                    yield pd.DataFrame({"_k": k, "at": at, "after": after, "before": before})
+            for n, at, after, before in anchors_of([t.encode() for t in b["_t"]]):
+                yield pd.DataFrame({"_k": b["_k"].iloc[n].array, "_m": b["_m"].iloc[n].array, "at": at, "after": after, "before": before})
 
-    found = cut(slim.mapInPandas(find, f"_k {kind}, at long, after long, before long"))
+    found = cut(slim.mapInPandas(find, f"_k {kind}, _m int, at int, after long, before long"))
     # an anchor matters if the context on one of its sides occurs twice
-    sides = found.select("_k", "at", F.explode(F.array("after", "before")).alias("h")).filter("h <> 0")
+    sides = found.select("_k", "_m", "at", F.explode(F.array("after", "before")).alias("h")).filter("h <> 0")
     twice = sides.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    kept = sides.join(twice, "h", "left_semi").groupBy("_k").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    kept = sides.join(twice, "h", "left_semi").groupBy("_k", "_m").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    kept = kept.select(F.col("_k").alias("_k2"), F.col("_m").alias("_m2"), "ats")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_128_digest
         for b in batches:
-            for k, t, ats in zip(b["_k"], b["_t"], b["ats"]):
+            rows = []
+            for k, m, t, ats in zip(b["_k"], b["_m"], b["_t"], b["ats"]):
                 raw = t.encode()
-                for i in range(0, len(ats), 5000):
-                    some = ats[i : i + 5000]
-                    right = [raw[a : a + LENGTH] for a in some]
-                    left = [raw[max(a + GRAM - LENGTH, 0) : a + GRAM][::-1] for a in some]
-                    digest = xxhash.xxh3_128_digest
-                    yield pd.DataFrame({"_k": k, "at": some, "right": right, "left": left, "rid": [digest(s) for s in right], "lid": [digest(s) for s in left]})
-
-    around = slim.join(kept, "_k").mapInPandas(contexts, f"_k {kind}, at long, right binary, left binary, rid binary, lid binary")
+                for a in ats.tolist():
+                    right, left = raw[a : a + LENGTH], raw[max(a + GRAM - LENGTH, 0) : a + GRAM][::-1]
+                    rows.append((k, m, a, right, left, digest(right), digest(left)))
+                if len(rows) >= 20_000:
+                    yield pd.DataFrame(rows, columns=["_k", "_m", "at", "right", "left", "rid", "lid"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["_k", "_m", "at", "right", "left", "rid", "lid"])
+
+    same = slim["_k"].eqNullSafe(kept["_k2"]) & (slim["_m"] == kept["_m2"])
+    around = slim.join(kept, same).select("_k", "_m", "_t", "ats").mapInPandas(
+        contexts, f"_k {kind}, _m int, at int, right binary, left binary, rid binary, lid binary"
+    )
     around = cut(around)
     strings = lambda i, s: around.groupBy(F.col(i).alias("id")).agg(F.first(s).alias("s"))
     right = sorted_paths(cut(strings("rid", "right"))).select(F.col("id").alias("rid"), F.col("path").alias("right"))
@@ -352,10 +404,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         nodes.filter("not own").join(again, ["u", "v"], "left_semi").select("rid", "lid", "first", "last")
     )
     ranges = hits.groupBy("rid", "lid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    spans = around.select("_k", "at", "rid", "lid").join(ranges, ["rid", "lid"]).select(
-        "_k", F.explode(F.transform("ranges", lambda r: F.struct((F.col("at") - r["last"]).alias("start"), (F.col("at") - r["first"] + LENGTH).alias("end")))).alias("s")
+    spans = around.select("_k", "_m", "at", "rid", "lid").join(ranges, ["rid", "lid"]).select(
+        "_k", "_m", F.explode(F.transform("ranges", lambda r: F.struct((F.col("at") - r["last"]).alias("start"), (F.col("at") - r["first"] + LENGTH).alias("end")))).alias("s")
     )
-    return spans.groupBy("_k").agg(F.sort_array(F.collect_list("s")).alias("spans")).withColumnRenamed("_k", key)
+    return spans.groupBy(F.col("_k").alias(key), F.col("_m").alias(mark)).agg(F.sort_array(F.collect_list("s")).alias("spans"))
 
 
 def _join_up(spans) -> list[tuple[int, int]]:
@@ -375,12 +427,11 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere
     else, in the same text or another. Null texts count as empty ones; texts
     under ``LENGTH`` bytes stay whole. Rows need not have different keys: those
-    with one key, or none, are told apart by their text, and equal rows get
-    equal results.
+    with one key, or none, are told apart by a hash of their text.
     """
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    rows = rows.withColumn("_k", F.concat_ws(":", F.coalesce(F.col("_key").cast("string"), F.lit("-")), F.xxhash64("_t").cast("string")))
-    spans = repeated(rows.select("_k", "_t"), "_k", "_t")
+    rows = rows.withColumn("_mark", F.hash("_t"))
+    spans = repeated(rows, "_key", "_mark", "_t").select(F.col("_key").alias("_k"), F.col("_mark").alias("_m"), "spans")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -394,7 +445,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield pd.DataFrame(out, columns=[key, "removed", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
-    joined = rows.join(spans, "_k", "left").select("_key", "_t", "spans")
+    joined = rows.join(spans, rows["_key"].eqNullSafe(spans["_k"]) & (rows["_mark"] == spans["_m"]), "left").select("_key", "_t", "spans")
     return joined.mapInPandas(take, f"`{key}` {kind}, removed array<struct<start:long,end:long>>, kept binary")
 
 
