@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrove.session import work_dir
+
 #: White space in the sense of all word rules here: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -23,3 +28,27 @@ def keyed(df: DataFrame, key: str, *values: str) -> DataFrame:
 def packed(df: DataFrame) -> Column:
     """The whole row as one column, to be unpacked with ``select("_row.*")``."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, tightly compressed, and read back; see ``release``."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``store`` once all that is made of them is stored itself.
+
+    Spark drops the shuffle files of finished steps when the driver collects its
+    garbage, which a driver with much memory may not do for long; it is asked to.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.session import cut
+from cellgrove.llm.common import release, store
 
 LENGTH, GRAM = 200, 24
 #: Bytes of context whose hash must occur twice for an anchor to matter: one side of any string has them.
@@ -268,7 +268,7 @@ def _borders(sums: list) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
 
 
 def sorted_paths(strings: DataFrame) -> DataFrame:
-    """``id`` and ``path`` of distinct strings: depth, alone or not, and name in 18 bytes an entry, deepest last.
+    """Of a stored table, which is released: ``id`` and ``path`` of distinct strings: depth, alone or not, and name in 18 bytes an entry, deepest last.
 
     A suffix has the name of a path's entry at every depth from the entry before
     it up to its own; the last entry is the suffix itself. Names are hashes of
@@ -303,7 +303,7 @@ def sorted_paths(strings: DataFrame) -> DataFrame:
             yield send()
 
     blocks = strings.select("s", "id").mapInPandas(cut_runs, _BLOCK_SCHEMA)
-    merged = cut(blocks.groupBy("part").applyInPandas(_merge, "part int, id binary, s binary, depths binary, to_first int, to_last int"))
+    merged = store(blocks.groupBy("part").applyInPandas(_merge, "part int, id binary, s binary, depths binary, to_first int, to_last int"))
     around = spark.sparkContext.broadcast(_borders(merged.filter("id is null").collect()))
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,9 +317,10 @@ def sorted_paths(strings: DataFrame) -> DataFrame:
                 paths.append(b"".join([bytes((d, alone and d == len(s))) + xxhash.xxh3_128_digest(s[:d]) for d in depths]))
             yield pd.DataFrame({"id": b["id"], "path": paths})
 
-    return merged.filter("id is not null").select("part", "id", "s", "depths", "to_first", "to_last").mapInPandas(
-        name, "id binary, path binary"
-    )
+    rows = merged.filter("id is not null").select("part", "id", "s", "depths", "to_first", "to_last")
+    paths = store(rows.mapInPandas(name, "id binary, path binary"))
+    release(strings, merged)
+    return paths
 
 
 def _entries(path: bytes) -> list[tuple[int, int, bytes]]:
@@ -359,7 +360,7 @@ def repeated(docs: DataFrame, key: str, mark: str, text: str) -> DataFrame:
             for n, at, after, before in anchors_of([t.encode() for t in b["_t"]]):
                 yield pd.DataFrame({"_k": b["_k"].iloc[n].array, "_m": b["_m"].iloc[n].array, "at": at, "after": after, "before": before})
 
-    found = cut(slim.mapInPandas(find, f"_k {kind}, _m int, at int, after long, before long"))
+    found = store(slim.mapInPandas(find, f"_k {kind}, _m int, at int, after long, before long"))
     # an anchor matters if the context on one of its sides occurs twice
     sides = found.select("_k", "_m", "at", F.explode(F.array("after", "before")).alias("h")).filter("h <> 0")
     twice = sides.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
@@ -374,37 +375,44 @@ def repeated(docs: DataFrame, key: str, mark: str, text: str) -> DataFrame:
                 raw = t.encode()
                 for a in ats.tolist():
                     right, left = raw[a : a + LENGTH], raw[max(a + GRAM - LENGTH, 0) : a + GRAM][::-1]
-                    rows.append((k, m, a, right, left, digest(right), digest(left)))
+                    rid, lid = digest(right), digest(left)
+                    rows.append((k, m, a, right, left, rid, lid, digest(rid + lid)))
                 if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=["_k", "_m", "at", "right", "left", "rid", "lid"])
+                    yield pd.DataFrame(rows, columns=["_k", "_m", "at", "right", "left", "rid", "lid", "pid"])
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["_k", "_m", "at", "right", "left", "rid", "lid"])
+                yield pd.DataFrame(rows, columns=["_k", "_m", "at", "right", "left", "rid", "lid", "pid"])
 
     same = slim["_k"].eqNullSafe(kept["_k2"]) & (slim["_m"] == kept["_m2"])
     around = slim.join(kept, same).select("_k", "_m", "_t", "ats").mapInPandas(
-        contexts, f"_k {kind}, _m int, at int, right binary, left binary, rid binary, lid binary"
+        contexts, f"_k {kind}, _m int, at int, right binary, left binary, rid binary, lid binary, pid binary"
     )
-    around = cut(around)
-    strings = lambda i, s: around.groupBy(F.col(i).alias("id")).agg(F.first(s).alias("s"))
-    right = sorted_paths(cut(strings("rid", "right"))).select(F.col("id").alias("rid"), F.col("path").alias("right"))
-    left = sorted_paths(cut(strings("lid", "left"))).select(F.col("id").alias("lid"), F.col("path").alias("left"))
-    both = around.groupBy("rid", "lid").agg(F.count("*").alias("n")).join(right, "rid").join(left, "lid")
+    around = store(around)
+    strings = lambda i, x: store(around.groupBy(F.col(i).alias("id")).agg(F.first(x).alias("s")))
+    after, before = strings("rid", "right"), strings("lid", "left")
+    places = store(around.select("_k", "_m", "at", "pid"))
+    both = store(around.groupBy("pid").agg(F.first("rid").alias("rid"), F.first("lid").alias("lid"), F.count("*").alias("n")))
+    release(found, around)
+    right = sorted_paths(after).select(F.col("id").alias("rid"), F.col("path").alias("right"))
+    left = sorted_paths(before).select(F.col("id").alias("lid"), F.col("path").alias("left"))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_128_digest
         for b in batches:
             rows = []
-            for rid, lid, n, r, l in b[["rid", "lid", "n", "right", "left"]].itertuples(index=False, name=None):  # noqa: E741
-                rows += [(rid, lid, n, u, v, first, last, own) for u, v, first, last, own in _pairs(r, l)]
-            yield pd.DataFrame(rows, columns=["rid", "lid", "n", "u", "v", "first", "last", "own"])
-
-    nodes = cut(both.mapInPandas(spread, "rid binary, lid binary, n long, u binary, v binary, first int, last int, own boolean"))
-    again = nodes.filter("not own").groupBy("u", "v").agg(F.sum("n").alias("m")).filter("m > 1").select("u", "v")
-    hits = nodes.filter("own and n > 1").select("rid", "lid", "first", "last").unionByName(
-        nodes.filter("not own").join(again, ["u", "v"], "left_semi").select("rid", "lid", "first", "last")
+            for pid, n, r, l in b[["pid", "n", "right", "left"]].itertuples(index=False, name=None):  # noqa: E741
+                # nodes that hold this pair of contexts alone repeat as often as the pair does
+                rows += [(pid, n, None if own else digest(u + v), x, y) for u, v, x, y, own in _pairs(r, l) if n > 1 or not own]
+            yield pd.DataFrame(rows, columns=["pid", "n", "node", "first", "last"])
+
+    nodes = store(both.join(right, "rid").join(left, "lid").select("pid", "n", "right", "left").mapInPandas(spread, "pid binary, n long, node binary, first int, last int"))
+    release(both, right, left)
+    again = nodes.filter("node is not null").groupBy("node").agg(F.sum("n").alias("m")).filter("m > 1").select("node")
+    hits = nodes.filter("node is null").select("pid", "first", "last").unionByName(
+        nodes.join(again, "node", "left_semi").select("pid", "first", "last")
     )
-    ranges = hits.groupBy("rid", "lid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    spans = around.select("_k", "_m", "at", "rid", "lid").join(ranges, ["rid", "lid"]).select(
+    ranges = hits.groupBy("pid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    spans = places.join(ranges, "pid").select(
         "_k", "_m", F.explode(F.transform("ranges", lambda r: F.struct((F.col("at") - r["last"]).alias("start"), (F.col("at") - r["first"] + LENGTH).alias("end")))).alias("s")
     )
     return spans.groupBy(F.col("_k").alias(key), F.col("_m").alias(mark)).agg(F.sort_array(F.collect_list("s")).alias("spans"))
