@@ -192,6 +192,8 @@ class LoserTree:
             self.winner = w
 
 
+#: Bytes that go with a suffix: its id, and whether it stands beside one context only.
+_ID = 17
 _BLOCK_SCHEMA = "part int, run string, seq int, common binary, sizes binary, rest binary, ids binary"
 
 
@@ -212,7 +214,7 @@ def _decode(blocks: pd.DataFrame) -> Iterator[tuple[bytes, int, bytes]]:
         at, first = 0, True
         for n, (k, size) in enumerate(zip(common, sizes)):
             s = (b"" if first else before)[:k] + rest[at : at + size]
-            yield s, shared(before, s) if first else k, ids[16 * n : 16 * n + 16]
+            yield s, shared(before, s) if first else k, ids[_ID * n : _ID * n + _ID]
             before, first, at = s, False, at + size
 
 
@@ -246,10 +248,10 @@ def _merge(blocks: pd.DataFrame) -> pd.DataFrame:
         to_first[i] = min(to_first[i - 1], common[i])
     for i in range(len(strings) - 2, -1, -1):
         to_last[i] = min(to_last[i + 1], common[i + 1])
-    rows = [(part, i, s, bytes({*a, *b}), f, z) for i, s, a, b, f, z in zip(ids, strings, left, right, to_first, to_last)]
-    rows.append((part, None, strings[0], bytes(sorted(set(to_first))), len(strings[0]), to_first[-1]))
-    rows.append((part, None, strings[-1], bytes(sorted(set(to_last))), len(strings[-1]), -1))
-    return pd.DataFrame(rows, columns=["part", "id", "s", "depths", "to_first", "to_last"])
+    rows = [(part, i[:16], bool(i[16]), s, bytes({*a, *b}), f, z) for i, s, a, b, f, z in zip(ids, strings, left, right, to_first, to_last)]
+    rows.append((part, None, False, strings[0], bytes(sorted(set(to_first))), len(strings[0]), to_first[-1]))
+    rows.append((part, None, False, strings[-1], bytes(sorted(set(to_last))), len(strings[-1]), -1))
+    return pd.DataFrame(rows, columns=["part", "id", "only", "s", "depths", "to_first", "to_last"])
 
 
 def _borders(sums: list) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
@@ -270,6 +272,9 @@ def _borders(sums: list) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
 def sorted_paths(strings: DataFrame) -> DataFrame:
     """Of a stored table, which is released: ``id`` and ``path`` of distinct strings: depth, alone or not, and name in 18 bytes an entry, deepest last.
 
+    An entry is alone if no other string reaches its depth with it and the string
+    itself stands beside one context ``only``.
+
     A suffix has the name of a path's entry at every depth from the entry before
     it up to its own; the last entry is the suffix itself. Names are hashes of
     128 bits of the prefix up to the entry's depth.
@@ -295,29 +300,29 @@ def sorted_paths(strings: DataFrame) -> DataFrame:
             return pd.DataFrame(rows, columns=_BLOCK_SCHEMA.replace(",", "").split()[::2])
 
         for b in batches:
-            run += [(bytes(s), bytes(i)) for s, i in zip(b["s"], b["id"])]
+            run += [(bytes(s), bytes(i) + bytes((o,))) for s, i, o in zip(b["s"], b["id"], b["only"])]
             if len(run) >= RUN:
                 yield send()
                 number, run = number + 1, []
         if run:
             yield send()
 
-    blocks = strings.select("s", "id").mapInPandas(cut_runs, _BLOCK_SCHEMA)
-    merged = store(blocks.groupBy("part").applyInPandas(_merge, "part int, id binary, s binary, depths binary, to_first int, to_last int"))
+    blocks = strings.select("s", "id", "only").mapInPandas(cut_runs, _BLOCK_SCHEMA)
+    merged = store(blocks.groupBy("part").applyInPandas(_merge, "part int, id binary, only boolean, s binary, depths binary, to_first int, to_last int"))
     around = spark.sparkContext.broadcast(_borders(merged.filter("id is null").collect()))
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before, after = around.value
         for b in batches:
             paths = []
-            for part, s, own, first, last in b[["part", "s", "depths", "to_first", "to_last"]].itertuples(index=False, name=None):
+            for part, only, s, own, first, last in b[["part", "only", "s", "depths", "to_first", "to_last"]].itertuples(index=False, name=None):
                 depths = {*own, *[min(first, d) for d in before[part]], *[min(last, d) for d in after[part]]}
-                alone = len(s) not in depths  # no other suffix begins with this one
+                alone = only and len(s) not in depths  # no other suffix begins with this one
                 depths = sorted(d for d in depths if GRAM <= d < len(s)) + [len(s)]
                 paths.append(b"".join([bytes((d, alone and d == len(s))) + xxhash.xxh3_128_digest(s[:d]) for d in depths]))
             yield pd.DataFrame({"id": b["id"], "path": paths})
 
-    rows = merged.filter("id is not null").select("part", "id", "s", "depths", "to_first", "to_last")
+    rows = merged.filter("id is not null").select("part", "id", "only", "s", "depths", "to_first", "to_last")
     paths = store(rows.mapInPandas(name, "id binary, path binary"))
     release(strings, merged)
     return paths
@@ -340,7 +345,7 @@ def _pairs(right: bytes, left: bytes) -> list[tuple[bytes, bytes, int, int, bool
             under = after[k - 1][0] if k else GRAM - 1
             first, last = max(a, LENGTH - deep), min(b, LENGTH - 1 - under)
             if first <= last:
-                out.append((u, v, first, last, bool(alone and single)))
+                out.append((u, v, first, last, bool(alone or single)))
             if LENGTH - 1 - under > b:
                 break
             j = k
@@ -388,8 +393,12 @@ def repeated(docs: DataFrame, key: str, mark: str, text: str) -> DataFrame:
         contexts, f"_k {kind}, _m int, at int, right binary, left binary, rid binary, lid binary, pid binary"
     )
     around = store(around)
-    strings = lambda i, x: store(around.groupBy(F.col(i).alias("id")).agg(F.first(x).alias("s")))
-    after, before = strings("rid", "right"), strings("lid", "left")
+
+    def strings(i: str, x: str, other: str) -> DataFrame:
+        only = (F.min(other) == F.max(other)).alias("only")
+        return store(around.groupBy(F.col(i).alias("id")).agg(F.first(x).alias("s"), only))
+
+    after, before = strings("rid", "right", "lid"), strings("lid", "left", "rid")
     places = store(around.select("_k", "_m", "at", "pid"))
     both = store(around.groupBy("pid").agg(F.first("rid").alias("rid"), F.first("lid").alias("lid"), F.count("*").alias("n")))
     release(found, around)
