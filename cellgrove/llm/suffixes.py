@@ -420,9 +420,10 @@ def repeated(docs: DataFrame, key: str, mark: str, text: str) -> DataFrame:
     hits = nodes.filter("node is null").select("pid", "first", "last").unionByName(
         nodes.join(again, "node", "left_semi").select("pid", "first", "last")
     )
-    ranges = hits.groupBy("pid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    # all strings around an anchor overlap in it, so what they cover is one span
+    ranges = hits.groupBy("pid").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     spans = places.join(ranges, "pid").select(
-        "_k", "_m", F.explode(F.transform("ranges", lambda r: F.struct((F.col("at") - r["last"]).alias("start"), (F.col("at") - r["first"] + LENGTH).alias("end")))).alias("s")
+        "_k", "_m", F.struct((F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + LENGTH).alias("end")).alias("s")
     )
     return spans.groupBy(F.col("_k").alias(key), F.col("_m").alias(mark)).agg(F.sort_array(F.collect_list("s")).alias("spans"))
 
