@@ -27,7 +27,7 @@ def to_cells(df: DataFrame, id_col: str, arr_col: str, w: int, h: int, out: str
     flat = spread(df.select(id_col, arr_col), id_col).select(F.col(id_col).alias("image_id"), F.posexplode(arr_col).alias("_pos", "_v"))
     return flat.select(
         "image_id",
-        F.lit(h).alias("h", metadata={MAX_CELLS: h * w, "max_side": max(h, w)}),
+        F.lit(h).alias("h", metadata={MAX_CELLS: h * w}),
         F.lit(w).alias("w"),
         F.floor(F.col("_pos") / w).cast("int").alias("y"),
         (F.col("_pos") % w).cast("int").alias("x"),

@@ -51,7 +51,8 @@ def label(df: DataFrame, mask: str, out: str = "comp", conn: int = 8, tile: int
     Each tile, a group of bounded size, is labelled on its own in one Arrow
     batch. Only cells facing a tile border can link two tiles: their links form
     a graph of tile components, far smaller than the raster, which is closed by
-    iterative star contraction. A raster of one tile needs no iteration.
+    iterative star contraction. Whether a raster has borders inside is told by the
+    dimensions in its own rows; those of one tile add nothing to the graph.
     """
 
     @F.pandas_udf("array<long>")
@@ -69,19 +70,15 @@ def label(df: DataFrame, mask: str, out: str = "comp", conn: int = 8, tile: int
     local = tiled.select("image_id", "h", "w", "ty", "tx", zipped.alias("z")).select(
         "image_id", "h", "w", "ty", "tx", F.col("z.pos").alias("pos"), F.col("z.low").alias("low")
     )
-    largest = df.schema["h"].metadata.get("max_side")
-    if largest is not None and largest <= tile:
+    local = cut(local)
+    seams = _seams(local, conn, tile)
+    if seams.isEmpty():
         named = local.select("image_id", "pos", F.col("low").alias(out))
     else:
-        local = cut(local)
-        seams = _seams(local, conn, tile)
-        if seams.isEmpty():
-            named = local.select("image_id", "pos", F.col("low").alias(out))
-        else:
-            roots = connected_components(seams, "a", "b", ["image_id"]).withColumnRenamed("node", "low")
-            named = local.join(roots, ["image_id", "low"], "left").select(
-                "image_id", "pos", F.coalesce("root", "low").alias(out)
-            )
+        roots = connected_components(seams, "a", "b", ["image_id"]).withColumnRenamed("node", "low")
+        named = local.join(roots, ["image_id", "low"], "left").select(
+            "image_id", "pos", F.coalesce("root", "low").alias(out)
+        )
     return df.withColumn("pos", pos).join(named, ["image_id", "pos"], "left").drop("pos")
 
 

@@ -164,7 +164,8 @@ def weighted_sample(
     """n draws with replacement, each row with probability proportional to its weight.
 
     Weights become whole numbers, a million on average, so interval ends are
-    exact whatever the weights' scale. Rows own intervals
+    exact whatever the weights' scale; any positive weight is one unit at least, so
+    very light rows can be drawn. Rows own intervals
     of the running total; draws are uniform points. Both are sent to equal slots
     of the line and matched by one sorted pass per slot, so neither a heavy row
     nor a heavy class lands in one task.
@@ -172,7 +173,7 @@ def weighted_sample(
     spark = df.sparkSession
     mean = df.agg(F.avg(weight).alias("mean"), F.count("*").alias("rows")).first()
     unit = 1_000_000.0 / mean["mean"]
-    weighed = df.select(id_col, F.round(weight * unit).cast("long").alias("_w")).filter("_w > 0")
+    weighed = df.filter(weight > 0).select(id_col, F.greatest(F.round(weight * unit).cast("long"), F.lit(1)).alias("_w"))
     row = weighed.agg(F.sum("_w").alias("total")).first()
     draws_n = n if n is not None else mean["rows"]
     slots = max(1, draws_n // 100_000)

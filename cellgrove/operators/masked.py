@@ -187,10 +187,10 @@ def response_features(df: DataFrame, value: str, mask: str, prefix: str) -> Data
         df,
         ID,
         {"p90": (v, 0.90), "p95": (v, 0.95), "p99": (v, 0.99)},
-        {"m1": F.avg(v), "m2": F.avg(v * v), "m3": F.avg(v * v * v), "sd": F.stddev_pop(v)},
+        {"m1": F.avg(v), "sd": F.stddev_pop(v), "g1": F.skewness(v)},
         SIZE,
     )
-    third = F.col("m3") - 3 * F.col("m1") * F.col("m2") + 2 * F.pow("m1", F.lit(3.0))
+    cubed = F.pow("sd", F.lit(3.0))  # moments about the mean: raw ones cancel
     return stats.select(
         "image_id",
         *[
@@ -201,7 +201,7 @@ def response_features(df: DataFrame, value: str, mask: str, prefix: str) -> Data
                 ("p90", F.col("p90")),
                 ("p95", F.col("p95")),
                 ("p99", F.col("p99")),
-                ("skew", third / (F.pow("sd", F.lit(3.0)) + 1e-6)),
+                ("skew", F.when(F.col("sd") > 0, F.col("g1") * cubed / (cubed + 1e-6))),
             )
         ],
     )

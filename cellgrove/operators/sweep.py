@@ -12,8 +12,8 @@ from cellgrove.operators.cells import SIZE
 from cellgrove.operators.evaluate import confusion_counts, pool_metrics
 from cellgrove.operators.quantiles import group_stats
 
-#: Most parameter rows that are attached to every sample as a constant.
-MAX_CONFIGS = 10_000
+#: Parameter rows that are attached to a sample at a time.
+CONFIGS_AT_ONCE = 1_000
 
 
 def param_grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
@@ -42,15 +42,16 @@ def dedupe_configs(df: DataFrame, keys: list[str], order: str, digits: int = 5)
 
 
 def attach_configs(samples: DataFrame, configs: DataFrame, name: str = "cfg") -> DataFrame:
-    """Every sample with every configuration, in place and without a join.
+    """Every sample with every configuration.
 
-    Configurations are parameters: few, and checked to be.
+    Configurations are packed into rows of about ``CONFIGS_AT_ONCE``; samples
+    meet each pack by its number, in an equi-join with one row a pack.
     """
-    rows = configs.limit(MAX_CONFIGS + 1).collect()
-    if len(rows) > MAX_CONFIGS:
-        raise ValueError(f"more than {MAX_CONFIGS} configurations")
-    constant = F.array(*[F.struct(*[F.lit(r[c]).cast(configs.schema[c].dataType).alias(c) for c in configs.columns]) for r in rows])
-    return samples.withColumn(name, F.explode(constant))
+    packs = -(-max(1, configs.count()) // CONFIGS_AT_ONCE)
+    number = F.pmod(F.xxhash64(*configs.columns), F.lit(packs)).cast("int").alias("_pack")
+    packed = configs.groupBy(number).agg(F.collect_list(F.struct(*configs.columns)).alias("_all"))
+    met = samples.withColumn("_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).join(packed, "_pack")
+    return met.withColumn(name, F.explode("_all")).drop("_pack", "_all")
 
 
 def evaluate_grid(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellgrove.functions import colour, kernels
 from cellgrove.functions import logits as L
 from cellgrove.operators import cells as G
-from cellgrove.operators import equalise, evaluate, filters, morphology, neighbourhood, report, sweep
+from cellgrove.operators import components, equalise, evaluate, filters, morphology, neighbourhood, report, sweep
 from cellgrove.operators import masked as M
 from cellgrove.plans import presets
 from cellgrove.plans.recipe import run_recipe, run_variants, step
@@ -189,3 +189,18 @@ def test_enhance_light_keeps_greys_grey(grid):
     rows = enhance_light(df, ("r", "g", "b"), "m", tiles=(2, 2), sigma=0.8).collect()
     assert all(abs(r.enh_r - r.enh_g) <= 1 and abs(r.enh_g - r.enh_b) <= 1 for r in rows)
     assert max(r.enh_g for r in rows) > min(r.enh_g for r in rows)
+
+
+@pytest.mark.parametrize("small_first", [True, False])
+def test_label_after_union(grid, small_first):
+    """A raster over several tiles stays one component whichever table a union names first."""
+    small, large = grid({1: {"m": np.ones((8, 8), bool)}}), grid({2: {"m": np.ones((200, 200), bool)}})
+    both = small.unionByName(large) if small_first else large.unionByName(small)
+    found = components.label(both, "m").groupBy("image_id").agg(F.count_distinct("comp").alias("n")).collect()
+    assert {r.image_id: r.n for r in found} == {1: 1, 2: 1}
+
+
+def test_more_configurations_than_a_pack(spark):
+    configs = spark.range(2_500).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    met = sweep.attach_configs(spark.range(3), configs)
+    assert met.select("id", "cfg.a", "cfg.b").distinct().count() == 7_500
