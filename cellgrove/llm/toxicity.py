@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrove.llm.common import release, store
+
 #: Bound of the labelled rows that are fitted on, of the lexicon, and of word beginnings in letters.
 FIT_ROWS, LEXICON, STEM = 20_000, 5_000, 4
 #: A word may be an insult if so many unlike toxic documents have it and they are this share of all that do;
@@ -157,17 +159,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     marked = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).filter("_k is not null and _y is not null").filter(~held_out(F.col("_k")))
     marked = marked.orderBy(F.xxhash64("_k"), "_k", "_y").limit(FIT_ROWS)
-    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter("_t is not null")
-    rows = texts.join(marked, "_k").select("_y", "_t")
-    word = F.explode(F.array_distinct(F.split(F.lower("_t"), _LETTERS)))
     # near copies share their beginning more often than not, so unlike documents are told by it
-    found = rows.select("_y", F.xxhash64(F.substring("_t", 1, 40)).alias("_like"), word.alias("w")).filter("w <> ''")
-    toxic = rows.filter("_y = 1").select(F.xxhash64(F.substring("_t", 1, 40))).distinct().count()
-    insults = _choose(found, toxic, set())
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(F.substring(F.col(text), 1, 40)).alias("_like")).filter("_t is not null")
+    # the marked rows are FIT_ROWS pairs of numbers at most, which bounds what is broadcast
+    rows = store(texts.join(F.broadcast(marked), "_k").select("_y", "_like", "_t"))
+    word = F.explode(F.array_distinct(F.split(F.lower("_t"), _LETTERS)))
+    found = rows.select("_y", "_like", word.alias("w")).filter("w <> ''")
+    toxic = rows.filter("_y = 1").select("_like").distinct().count()
+    explained: set = set()
+    insults = _choose(found, toxic, explained)
     known = list(insults) + list(_SYMBOLS)
     rest = found.filter(~F.col("w").isin(known) & (F.length("w") >= STEM)).withColumn("w", F.substring("w", 1, STEM))
-    explained = found.filter((F.col("_y") == 1) & F.col("w").isin(list(insults))).select("_like").distinct().collect() if insults else []
-    model = Model(insults, _choose(rest, toxic, {r[0] for r in explained}))
+    model = Model(insults, _choose(rest, toxic, explained))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,6 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pd.DataFrame({"y": b["_y"], "a": f[:, 1], "b": f[:, 2], "c": f[:, 3]})
 
     x = rows.select(F.col("_y").cast("long").alias("_y"), "_t").mapInPandas(measure, "y long, a double, b double, c double").toPandas()
+    release(rows)
     model.weights = _logistic(np.column_stack([np.ones(len(x)), x[["a", "b", "c"]]]), x["y"].to_numpy() == 1)
     return model
 
@@ -186,22 +190,25 @@ def _choose(found: DataFrame, toxic: int, done: set) -> dict[str, float]:
 
     By falling count, a word stays if ``COMMON`` of the toxic documents have it
     or if it explains ``SPREAD`` that no word before it does. Words that merely
-    stand beside insults in copied documents do neither.
+    stand beside insults in copied documents do neither. What the kept words
+    explain is added to ``done``.
     """
-    per_doc = found.groupBy("w", "_like").agg(F.max("_y").alias("_y"))
-    counts = per_doc.groupBy("w").agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n"))
     share = found.select("_like", "_y").distinct().agg(F.avg("_y")).first()[0]
     if not share or share >= 1:
         return {}
+    per_doc = found.groupBy("w", "_like").agg(F.max("_y").alias("_y"))
+    counts = store(per_doc.groupBy("w").agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n")))
     need = (math.log(counts.count()) + math.log(1 / CHANCE)) / -math.log(share)
     pure = counts.filter((F.col("bad") - 2 * (F.col("n") - F.col("bad")) >= need) & (F.col("bad") >= PURITY * F.col("n"))).orderBy(F.desc("bad"), "w").limit(LEXICON)
+    bad = {r["w"]: r["bad"] for r in pure.collect()}
+    release(counts)
     where: dict[tuple, set] = {}
-    for r in per_doc.filter("_y = 1").join(pure, "w").select("w", "bad", "_like").collect():
-        where.setdefault((-r.bad, r.w), set()).add(r["_like"])
+    for r in found.filter((F.col("_y") == 1) & F.col("w").isin(list(bad))).select("w", "_like").distinct().collect() if bad else []:
+        where.setdefault((-bad[r["w"]], r["w"]), set()).add(r["_like"])
     kept = {}
-    for (bad, w), docs in sorted(where.items(), key=lambda x: x[0]):
-        if -bad >= COMMON * toxic or len(docs - done) >= SPREAD:
-            kept[w] = math.log2(1 - bad)
+    for (fewer, w), docs in sorted(where.items(), key=lambda x: x[0]):
+        if -fewer >= COMMON * toxic or len(docs - done) >= SPREAD:
+            kept[w] = math.log2(1 - fewer)
             done |= docs
     return kept
 
