@@ -150,11 +150,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
 
 
-#: Wide fingerprints for similarity: bits over distinct words that give the keys, in segments of 32,
-#: and bits over shingles that are compared, in boxes of 64 on a ring.
-KEY_BITS, KEY_WIDTH, WIDE, BOX, WIDE_CHAIN = 1280, 32, 1024, 64, 4
+#: Wide fingerprints for similarity: bits over shingles, compared in boxes of 64 on a ring.
+WIDE, BOX, WIDE_CHAIN = 1024, 64, 4
 #: Members of a key that are compared by a join; more are compared in blocks of this many.
 SMALL, CROWD_BLOCK = 24, 256
+#: Documents, about, whose shingles tell the common ones; in how many of them and how many are told at most.
+SAMPLE, SEEN, COMMON = 8192, 3, 1 << 18
 _FEW = 4096
 
 
@@ -177,14 +178,44 @@ def _wide(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes)).view(np.uint64)
 
 
-def wide_fingerprints(text: str | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Key words (of 32 bits) and compared words (of 64) of one text, over distinct words and shingles."""
+def shingle_hashes(text: str | None, size: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of one text; a shorter text is one shingle."""
     found = (text or "").encode().lower().split()
     digest = xxhash.xxh64_intdigest
-    words = np.array([digest(w, 42) for w in set(found)], dtype=np.uint64)
     shingles = {b" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))}
-    parts = np.array([digest(w, 42) for w in shingles], dtype=np.uint64)
-    return _wide(words, KEY_BITS).view(np.uint32).astype(np.int64), _wide(parts, WIDE).view(np.int64)
+    return np.unique(np.array([digest(w, 42) for w in shingles], dtype=np.uint64))
+
+
+def prefix_keys(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first ``n - ceil(similarity * n) + 1`` of n hashes, rare ones before common ones.
+
+    Two sets of at least this Jaccard similarity have such a hash in common, for
+    any order that is the same for all sets: the first hash of all that they
+    share can't come later in either. ``common`` (sorted) and ``counts`` only say
+    which hashes come last.
+    """
+    seen = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        seen = np.where(common[at] == hashes, counts[at], 0)
+    n = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, seen))[:n]].view(np.int64)
+
+
+def _common(texts: DataFrame, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that are common in a sample of the distinct texts (``id``, ``_t``), sorted, and in how many."""
+    part = min(1 << 20, SAMPLE * (1 << 20) // max(rows, 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"h": np.concatenate([shingle_hashes(t, size) for t in b["_t"]] or [np.zeros(0, np.uint64)]).view(np.int64)})
+
+    some = texts.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part).dropDuplicates(["id"])
+    counts = some.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN)
+    told = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    common = told["h"].to_numpy(np.int64).view(np.uint64)
+    order = common.argsort()
+    return common[order], told["n"].to_numpy(np.int64)[order]
 
 
 def _parts_of(near: np.ndarray, ids: list) -> list[tuple]:
@@ -202,21 +233,25 @@ def _parts_of(near: np.ndarray, ids: list) -> list[tuple]:
     return out
 
 
-def similar_links(prints: DataFrame, distance: int) -> DataFrame:
-    """Edges ``a``, ``b`` between rows (``id``, ``keys``, ``fp``) that share a key and differ in at most ``distance`` bits.
+def similar_links(prints: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Edges ``a``, ``b`` between rows (``id``, ``n_set``, ``keys``, ``fp``) that share a key, whose sizes allow the
+    similarity and whose fingerprints differ in at most ``distance`` bits.
 
-    Under a key with few members all are joined, chains of boxes first: if two
-    fingerprints are near, some box starts a chain whose cumulative differences
-    stay within its share of the distance. A crowded key is compared in blocks,
-    every block with every other, which gives forests and never pairs.
+    Under a key with few members all pairs are taken, each pair once, and tested
+    by chains of boxes first: if two fingerprints are near, some box starts a
+    chain whose cumulative differences stay within its share of the distance. A
+    crowded key is compared in blocks, every block with every other, which gives
+    forests and never pairs.
     """
-    rows = prints.select("id", F.posexplode("keys").alias("place", "bits"))
-    sizes = rows.groupBy("place", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = cut(rows.join(sizes, ["place", "bits"]))
-    held = prints.select("id", "fp")
-    few = rows.filter(F.col("n") <= SMALL).select("place", "bits", "id").join(held, "id")
-    left = few.select("place", "bits", F.col("id").alias("a"), F.col("fp").alias("x"))
-    right = few.select("place", "bits", F.col("id").alias("b"), F.col("fp").alias("y"))
+    rows = prints.select("id", F.explode("keys").alias("bits"))
+    sizes = rows.groupBy("bits").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = cut(rows.join(sizes, "bits"))
+    held = prints.select("id", "n_set", "fp")
+    few = rows.filter(F.col("n") <= SMALL)
+    left, right = few.select("bits", F.col("id").alias("a")), few.select("bits", F.col("id").alias("b"))
+    met = left.join(right, "bits").filter("a < b").select("a", "b").distinct()
+    met = met.join(held.toDF("a", "n_a", "x"), "a").join(held.toDF("b", "n_b", "y"), "b")
+    met = met.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9)
     boxes = WIDE // BOX
     differing = F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
 
@@ -234,24 +269,26 @@ def similar_links(prints: DataFrame, distance: int) -> DataFrame:
 
     # the array of one binds the differences to a name, so they are worked out once
     viable = F.exists(F.array(differing), near)
-    pairs = left.join(right, ["place", "bits"]).filter((F.col("a") < F.col("b")) & viable).select("a", "b")
+    pairs = met.filter(viable).select("a", "b")
 
     many = rows.filter(F.col("n") > SMALL)
     blocks = F.ceil(F.col("n") / CROWD_BLOCK).cast("int")
     mine = many.withColumn("k", blocks).withColumn("m", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    sent = mine.select("place", "bits", "id", "m", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    sent = sent.select("place", "bits", "id", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j")).join(held, "id")
+    sent = mine.select("bits", "id", "m", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    sent = sent.select("bits", "id", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j")).join(held, "id")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["id"].tolist()
         bits = np.unpackbits(np.stack([np.asarray(f, np.int64) for f in group["fp"]]).view(np.uint8), axis=1).astype(np.float32)
         ones = bits.sum(1)
         near = ones[:, None] + ones[None, :] - 2 * bits @ bits.T <= distance
+        n = group["n_set"].to_numpy()
+        near &= np.minimum(n[:, None], n) >= np.maximum(n[:, None], n) * similarity - 1e-9
         np.fill_diagonal(near, False)
         return pd.DataFrame(_parts_of(near, ids), columns=["a", "b"])
 
     kind = prints.schema["id"].dataType.simpleString()
-    crowd = sent.groupBy("place", "bits", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    crowd = sent.groupBy("bits", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
     return pairs.unionByName(crowd).distinct()
 
 
@@ -262,22 +299,26 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     Jaccard similarity, as told by wide fingerprints (one bit in a hundred more
     or less), and groups are closed under that. The row with the smallest key
     stays; rows without key come last, equal keys are told apart by text, and of
-    equal rows one stays. Equal texts collapse before anything is compared. A
-    key of 32 bits over distinct words makes candidates; that is not certain to
-    find a pair, see the README for its recall.
+    equal rows one stays. Equal texts collapse before anything is compared.
+    Candidates share one of the rarest shingles of both (``prefix_keys``), which
+    misses no pair of that similarity; a sample of the texts tells which shingles
+    are common.
     """
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     order = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), digest.alias("id"))
+    least = cut(docs.select(order.alias("o")).groupBy("o.id").agg(F.min("o").alias("o")))
+    texts = docs.select(F.col(text).alias("_t"), digest.alias("id"))
+    shared = docs.sparkSession.sparkContext.broadcast(_common(texts, least.count(), size))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            both = [wide_fingerprints(t, size) for t in b["_t"]]
-            yield pd.DataFrame({"id": b["id"], "keys": [k for k, _ in both], "fp": [f for _, f in both]})
+            sets = [shingle_hashes(t, size) for t in b["_t"]]
+            keys = [prefix_keys(h, similarity, *shared.value) for h in sets]
+            yield pd.DataFrame({"id": b["id"], "n_set": [len(h) for h in sets], "keys": keys, "fp": [_wide(h, WIDE).view(np.int64) for h in sets]})
 
-    least = cut(docs.select(order.alias("o")).groupBy("o.id").agg(F.min("o").alias("o")))
-    prints = docs.select(F.col(text).alias("_t"), digest.alias("id")).mapInPandas(run, "id binary, keys array<long>, fp array<long>")
+    prints = texts.mapInPandas(run, "id binary, n_set long, keys array<long>, fp array<long>")
     prints = cut(prints.dropDuplicates(["id"]))
-    roots = connected_components(similar_links(prints, allowed(similarity)), "a", "b")
+    roots = connected_components(similar_links(prints, allowed(similarity), similarity), "a", "b")
     group = least.join(roots, least["id"] == roots["node"], "left").select("o", F.coalesce("root", "id").alias("g"))
     stay = group.groupBy("g").agg(F.min("o").alias("o")).select(F.col("o.k").alias("_k"), F.col("o.id").alias("_id"))
     rows = docs.select(packed(docs), F.col(key).alias("_key"), digest.alias("_digest"))
