@@ -6,8 +6,11 @@ the order of the summed squared distances of its halves (multi-sequence
 traversal), up to a reach above the nearest cell, and all it meets there is
 verified by cosine in double precision.
 
-The reach is measured: a bounded sample of queries is compared with every vector,
-and the reach is the one at which the wanted share of the true pairs is met.
+The reach has two parts and is the farther one. The geometry of the codebooks gives
+a floor: the gaps of made partners that lie exactly at the least cosine from sampled
+queries, so it doesn't hang on which pairs the data has many of. And it is measured:
+sampled queries are compared with every vector, and the wanted share of their true
+pairs must be met, counted by pair, by query and by group of near vectors.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ FIT_ROWS, TEST_QUERIES = 8192, 1024
 BLOCK = 512
 #: Added to the measured reach; and the finest step in which it is measured.
 MARGIN, STEP = 1.25, 1e-3
+#: Partners that are made for each sampled query, of either kind.
+MADE = 8
 _STEPS = 4096
 
 
@@ -38,15 +43,18 @@ def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ book.T + (book * book).sum(1), 0.0)
 
 
-def fit(sample: np.ndarray, centroids: int = CENTROIDS, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Codebooks of both halves by Lloyd's rounds over unit vectors."""
+def fit(
+    sample: np.ndarray, centroids: int = CENTROIDS, rounds: int = 12, seed: int = 7, weights: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Codebooks of both halves by Lloyd's rounds over unit vectors, each with its weight."""
     rng, books = np.random.default_rng(seed), []
+    weights = np.ones(len(sample)) if weights is None else weights
     for half in np.array_split(sample, 2, axis=1):
-        book = half[rng.choice(len(half), min(centroids, len(half)), replace=False)].copy()
+        book = half[rng.choice(len(half), min(centroids, len(half)), replace=False, p=weights / weights.sum())].copy()
         for _ in range(rounds):
             own = _nearest(half, book).argmin(1)
             for c in np.unique(own):
-                book[c] = half[own == c].mean(0)
+                book[c] = np.average(half[own == c], axis=0, weights=weights[own == c])
         books.append(book)
     return books[0], books[1]
 
@@ -82,15 +90,48 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _alone(unit: np.ndarray, groups: np.ndarray, cosine: float) -> np.ndarray:
+    """Weights by which a group of near vectors counts about as one vector."""
+    near = [((unit[i : i + BLOCK] @ unit.T >= cosine) & (groups[i : i + BLOCK, None] == groups)).sum(1) for i in range(0, len(unit), BLOCK)]
+    return 1 / np.maximum(np.concatenate(near), 1)
+
+
+def _point(values: np.ndarray, weights: np.ndarray, share: float) -> float:
+    """Smallest value up to which ``share`` of the weight lies."""
+    order = values.argsort(kind="stable")
+    sums = weights[order].cumsum()
+    return float(values[order][min(int(np.searchsorted(sums, share * sums[-1] * (1 - 1e-12))), len(values) - 1)])
+
+
+def floor_reach(queries: np.ndarray, weights: np.ndarray, pool: np.ndarray, books, cosine: float, recall: float, seed: int = 7) -> float:
+    """Reach that meets ``recall`` of partners made at exactly ``cosine``, off in any direction or in one between two of ``pool``."""
+    rng, i, out = np.random.default_rng(seed), np.arange(len(queries)), [0.0]
+    ga, gb = gaps(queries, books)
+    for along in (False, True):
+        far, mass = [], []
+        for _ in range(MADE):
+            off = pool[rng.integers(len(pool), size=len(i))] - pool[rng.integers(len(pool), size=len(i))] if along else rng.normal(size=queries.shape)
+            off = off - (off * queries).sum(1, keepdims=True) * queries
+            long = np.linalg.norm(off, axis=1)
+            ok = long > 1e-9
+            off[ok] /= long[ok, None]
+            da, db = gaps(cosine * queries + np.sqrt(max(0.0, 1 - cosine * cosine)) * off, books)
+            far.append((ga[i, da.argmin(1)] + gb[i, db.argmin(1)])[ok])
+            mass.append(weights[ok])
+        far, mass = np.concatenate(far), np.concatenate(mass)
+        if len(far):
+            out.append(_point(far, mass, recall))
+    return max(out)
+
+
 def _measure_reach(distinct: DataFrame, queries: pd.DataFrame, books, cosine: float, recall: float) -> float:
-    """Smallest reach at which ``recall`` of the pairs of the sample queries are met, with a margin."""
+    """Smallest reach at which ``recall`` of the pairs of the sample queries are met, with a margin; 0 without pairs."""
     spark = distinct.sparkSession
     known = spark.sparkContext.broadcast((queries["_id"].to_numpy(), queries["_g"].to_numpy(), _unit(queries["_v"]), books))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, groups, q, books = known.value
         ga, gb = gaps(q, books)
-        counts = np.zeros(_STEPS, np.int64)
         for b in batches:
             u = _unit(b["_v"])
             da, db = gaps(u, books)
@@ -98,15 +139,15 @@ def _measure_reach(distinct: DataFrame, queries: pd.DataFrame, books, cosine: fl
             hit = (q @ u.T >= cosine) & (groups[:, None] == b["_g"].to_numpy()[None, :]) & (ids[:, None] != b["_id"].to_numpy()[None, :])
             i, j = hit.nonzero()
             far = np.minimum((ga[i, ca[j]] + gb[i, cb[j]]) / STEP, _STEPS - 1).astype(np.int64)
-            counts += np.bincount(far, minlength=_STEPS)
-        at = counts.nonzero()[0]
-        yield pd.DataFrame({"at": at, "n": counts[at]})
+            at, n = np.unique(i * _STEPS + far, return_counts=True)
+            yield pd.DataFrame({"at": at, "n": n})
 
-    found = distinct.select("_id", "_g", "_v").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toPandas()
+    # at most one row for each query and step
+    found = distinct.select("_id", "_g", "_v").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     if found.empty:
-        return 2 * (1 - cosine)
-    share = found["n"].cumsum() / found["n"].sum()
-    return float((found["at"][(share >= recall).idxmax()] + 1) * STEP * MARGIN)
+        return 0.0
+    query, at, n = found["at"].to_numpy() // _STEPS, found["at"].to_numpy() % _STEPS, found["n"].to_numpy(float)
+    return (max(_point(at, n / np.bincount(query, n)[query] ** k, recall) for k in range(3)) + 1) * STEP * MARGIN
 
 
 def _forest(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
@@ -144,7 +185,8 @@ def near_duplicates(
     of their own; rows without key are such too, with a null component. Rows with equal
     keys count as rows of their own.
 
-    Cells are compared in blocks of bounded size, with more blocks where a cell
+    A vector visits its own cell and those of higher number, so that each pair of
+    unlike cells is met once. Cells are compared in blocks of bounded size, with more blocks where a cell
     or its queries are many. A block gives sums of links and a spanning forest,
     never its pairs.
     """
@@ -173,8 +215,11 @@ def _linked(distinct: DataFrame, links: DataFrame, cosine: float, centroids: int
     spark = distinct.sparkSession
     seeded = distinct.orderBy(F.xxhash64("_id"), "_id")
     sample = seeded.limit(FIT_ROWS).select("_id", "_g", "_v").toPandas()
-    books = fit(_unit(sample["_v"]), centroids)
-    reach = _measure_reach(distinct, sample.head(TEST_QUERIES), books, cosine, recall)
+    known = _unit(sample["_v"])
+    weights = _alone(known, sample["_g"].to_numpy(), cosine)
+    books = fit(known, centroids, weights=weights)
+    floor = floor_reach(known[:TEST_QUERIES], weights[:TEST_QUERIES], known, books, cosine, recall)
+    reach = max(floor, _measure_reach(distinct, sample.head(TEST_QUERIES), books, cosine, recall))
     shared = spark.sparkContext.broadcast(books)
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +227,8 @@ def _linked(distinct: DataFrame, links: DataFrame, cosine: float, centroids: int
         for b in batches:
             da, db = gaps(_unit(b["_v"]), books)
             own = da.argmin(1) * len(books[1]) + db.argmin(1)
-            yield b.assign(_own=own.astype(np.int32), _visits=[traverse(x, y, reach) for x, y in zip(da, db)])
+            visits = [[c for c in traverse(x, y, reach) if c >= o] for x, y, o in zip(da, db, own.tolist())]
+            yield b.assign(_own=own.astype(np.int32), _visits=visits)
 
     kind = distinct.schema["_v"].dataType.simpleString()
     filed = distinct.select("_id", "_g", "_m", "_v").mapInPandas(locate, f"_id long, _g string, _m long, _v {kind}, _own int, _visits array<int>")
@@ -196,8 +242,8 @@ def _linked(distinct: DataFrame, links: DataFrame, cosine: float, centroids: int
     block = ["_g", "_cell", "_h", "_a"]
     index = filed.select("_id", "_g", F.col("_own").alias("_cell"), "_m", "_v").join(sizes, ["_g", "_cell"])
     index = index.withColumn("_h", piece("_hs")).withColumn("_a", every("_as")).select(*block, "_id", "_m", "_v")
-    query = filed.select("_id", "_g", F.explode("_visits").alias("_cell"), "_v").join(sizes, ["_g", "_cell"])
-    query = query.withColumn("_a", piece("_as")).withColumn("_h", every("_hs")).select(*block, "_id", "_v")
+    query = filed.select("_id", "_g", F.explode("_visits").alias("_cell"), "_own", "_m", "_v").join(sizes, ["_g", "_cell"])
+    query = query.withColumn("_a", piece("_as")).withColumn("_h", every("_hs")).select(*block, "_id", "_own", "_m", "_v")
 
     index = index.toDF(*index.columns)  # columns of its own: both sides come from one table
 
@@ -207,7 +253,10 @@ def _linked(distinct: DataFrame, links: DataFrame, cosine: float, centroids: int
             x, y = asking["_id"].to_numpy(), holding["_id"].to_numpy()
             near = (_unit(asking["_v"]) @ _unit(holding["_v"]).T >= cosine) & (x[:, None] != y[None, :])
             n = near @ holding["_m"].to_numpy()
-            out = [(int(i), int(i), int(k)) for i, k in zip(x, n) if k] + [(a, b, 0) for a, b in _forest(near, x, y)]
+            # a pair of unlike cells is met from the lower cell only and counts for both
+            away = (asking["_own"] != asking["_cell"]).to_numpy()
+            back = asking["_m"].to_numpy()[away] @ near[away]
+            out = [(int(i), int(i), int(k)) for i, k in [*zip(x, n), *zip(y, back)] if k] + [(a, b, 0) for a, b in _forest(near, x, y)]
         return pd.DataFrame(out, columns=["a", "b", "n"]).astype("int64")
 
     met = cut(query.groupBy(*block).cogroup(index.groupBy(*block)).applyInPandas(verify, "a long, b long, n long"))
