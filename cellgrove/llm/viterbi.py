@@ -6,6 +6,10 @@ start. Nothing is remembered to trace a path back: the number of pieces is carri
 along. Ties go to the entry that starts first, i.e. the longest; a letter that is
 no entry costs ten less than the lowest score, loses all ties, and counts as one
 piece or as its bytes if the vocabulary has them.
+
+The registered query reads a BPE file (``piece_bpe_32k.model``) as a stand-in: its
+scores are minus merge ranks, not log frequencies, so its counts are those of no
+published tokenizer. See the README.
 """
 
 from __future__ import annotations
