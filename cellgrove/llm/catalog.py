@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import bpe, chat, mixing, multiindex, pii, quality, simhash, suffixes, toxicity, viterbi
+from cellgrove.llm import bpe, chat, mixing, multiindex, onepermutation, pii, quality, simhash, suffixes, toxicity, viterbi
 
 #: Place of the public tokenizer files, read on the driver only.
 WORD_BPE, UNIGRAM = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -91,3 +91,8 @@ def op2(read):
 @_query("op9_suffix_dedup")
 def op9(read):
     return suffixes.report(read("documents"))
+
+
+@_query("op13_fingerprints", onepermutation.report_sql())
+def op13(read):
+    return onepermutation.report(read("documents"))
