@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import bpe, chat, mixing, multiindex, onepermutation, pii, ptolemy, quality, simhash, suffixes, toxicity, viterbi
+from cellgrove.llm import bpe, chat, divergence, mixing, multiindex, onepermutation, pii, ptolemy, quality, simhash, suffixes, toxicity, viterbi
 
 #: Place of the public tokenizer files, read on the driver only.
 WORD_BPE, UNIGRAM = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -101,3 +101,8 @@ def op13(read):
 @_query("op11_centroid_clusters", ptolemy.cluster_sql())
 def op11(read):
     return ptolemy.cluster(read("embeddings"))
+
+
+@_query("op12_source_divergence", divergence.audit_sql())
+def op12(read):
+    return divergence.audit(read("documents"))
