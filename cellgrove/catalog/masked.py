@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellgrove.catalog import query
 from cellgrove.catalog.fixtures import CELLS, MASKED, U8, cells, masked_cells, pick, rounded, u8_cells
 from cellgrove.operators import masked as M
+from cellgrove.operators.distance import fill_nearest
 
 CLIP = "least(greatest((v - lo) / (hi - lo), 0.0), 1.0)"
 EDGES = """e AS (SELECT image_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi, min(v) AS mn, max(v) AS mx
@@ -70,7 +71,7 @@ def _(read):
 SELECT m.image_id, m.y, m.x, CASE WHEN pred THEN v ELSE coalesce(nv, v) END AS filled FROM masked m LEFT JOIN near USING (image_id, y, x)""",
 )
 def _(read):
-    return M.fill_nearest(masked_cells(read), "v", "pred", "filled").select("image_id", "y", "x", "filled")
+    return fill_nearest(masked_cells(read), "v", "pred", "filled").select("image_id", "y", "x", "filled")
 
 
 ACTIVE = """f AS (SELECT image_id, greatest(0.02, quantile_cont(n, 0.35)) AS fl FROM u8 WHERE fov GROUP BY image_id),

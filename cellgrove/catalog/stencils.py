@@ -22,9 +22,9 @@ from cellgrove.catalog.fixtures import (
 from cellgrove.functions import kernels as K
 from cellgrove.operators import equalise as Q
 from cellgrove.operators import filters as T
-from cellgrove.operators import masked as M
 from cellgrove.operators import morphology as R
 from cellgrove.operators import neighbourhood as N
+from cellgrove.operators.distance import edge_distance
 
 GAUSS = K.gaussian(0.8, radius=2)
 
@@ -318,17 +318,16 @@ def _(read):
     "F12_edge_distance",
     f"""WITH {MASKED}, d AS (SELECT c.image_id, c.y, c.x, min(pow(c.y - n.y, 2) + pow(c.x - n.x, 2)) AS d2 FROM masked c
   LEFT JOIN masked n ON n.image_id = c.image_id AND NOT n.fov GROUP BY ALL)
-SELECT image_id, y, x, round(CASE WHEN d2 <= 9 THEN sqrt(d2) ELSE -1.0 END, 6) AS distance, d2 <= 4 AND fov AS band,
-  round(CASE WHEN fov THEN CASE WHEN d2 <= 9 THEN least(greatest((sqrt(d2) - 1.0) / 2.0, 0.0), 1.0) ELSE 1.0 END ELSE 0.0 END, 6) AS weight
+SELECT image_id, y, x, round(sqrt(d2), 6) AS distance, d2 <= 4 AND fov AS band,
+  round(CASE WHEN fov THEN least(greatest((sqrt(d2) - 1.0) / 2.0, 0.0), 1.0) ELSE 0.0 END, 6) AS weight
 FROM d JOIN masked USING (image_id, y, x)""",
 )
 def _(read):
     from cellgrove.operators import borders as B
 
-    df = M.edge_distance(masked_cells(read), "fov", "distance", 3)
+    df = edge_distance(masked_cells(read), "fov", "distance")
     df = df.withColumns({"band": B.border_band("distance", "fov", 2.0), "weight": B.edge_weight("distance", "fov", 1.0, 2.0)})
-    shown = F.when(F.col("distance") < float("inf"), F.col("distance")).otherwise(-1.0)
-    return pick(df.withColumn("distance", shown), "distance", "band", "weight")
+    return pick(df, "distance", "band", "weight")
 
 
 OFFSETS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, 3), (2, 2), (3, 0), (2, -2)]

@@ -290,7 +290,7 @@ def assemble_responses(z: Sizes = FULL) -> list[Step]:
         step("hessian", "frangi", value="thf", sigmas=z.jerman_wide, method="frangi", mask="fov", radius=z.hessian_radius, beta=15.0),
         step("hessian", "jerman", value="thf", sigmas=z.jerman_wide, method="jerman_smooth", mask="fov", radius=z.hessian_radius),
         step("fuse", "response", weights={"frangi": 0.70, "jerman": 0.30}, mask="fov"),
-        step("edge_distance", "edge", mask="fov", radius=int(sum(z.ramp)) + 1),
+        step("edge_distance", "edge", mask="fov"),
         step("sql", "ramp", text=f"if(fov, least(greatest((edge - {z.ramp[0]}D) / {z.ramp[1]}D, 0D), 1D), 0D)"),
         step("sql", "prob0", text="(0.78D * response + 0.12D * matched + 0.10D * top_hat) * ramp"),
         step("normalise", "prob", value="prob0", mask="fov", variant="masked"),
@@ -417,7 +417,7 @@ def soft_response(z: Sizes = FULL) -> list[Step]:
         step("normalise", "q2n", value="q2z", mask="fov", variant="masked"),
         step("normalise", "medn", value="medz", mask="fov", variant="masked"),
         step("fuse", "soft0", weights={"medn": 0.65, "q2n": 0.35}, mask="fov"),
-        step("edge_distance", "edge", mask="fov", radius=int(z.outline) + 1),
+        step("edge_distance", "edge", mask="fov"),
         step("sql", "outline", text=f"fov and edge <= {z.outline}D"),
         step("sql", "soft", text="if(fov and not outline, soft0, 0D)"),
     ]
@@ -590,7 +590,7 @@ def rim_mask(z: Sizes = FULL) -> list[Step]:
     """P10. Strong lightness edges near the border whose components hug it."""
     near, contact = z.rim_search, z.rim_contact
     return [
-        step("edge_distance", "edge", mask="fov", radius=near),
+        step("edge_distance", "edge", mask="fov"),
         step("sql", "band", text=f"fov and edge <= {near}D"),
         step("fill_nearest", "lf", value="light", mask="fov"),
         step("gradient", "grad", value="lf"),

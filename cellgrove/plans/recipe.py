@@ -25,6 +25,7 @@ from cellgrove.operators import morphology as R
 from cellgrove.operators import shapes as S
 from cellgrove.operators import threshold as G
 from cellgrove.operators.cells import GRID
+from cellgrove.operators.distance import edge_distance, fill_nearest
 from cellgrove.operators.skeleton import reconnect, thin
 from cellgrove.session import cut
 
@@ -150,8 +151,8 @@ OPS: dict[str, tuple[Callable[..., DataFrame], int]] = {
     "stretch": (lambda df, out, **k: M.stretch_u8(df, out=out, **k), 2),
     "percentile_floor": (lambda df, out, **k: M.percentile_floor(df, out=out, **k), 2),
     "fill_median": (lambda df, out, **k: M.fill_median(df, out=out, **k), 2),
-    "fill_nearest": (lambda df, out, **k: M.fill_nearest(df, out=out, **k), 3),
-    "edge_distance": (lambda df, out, **k: M.edge_distance(df, out=out, **k), 1),
+    "fill_nearest": (lambda df, out, **k: fill_nearest(df, out=out, **k), 3),
+    "edge_distance": (lambda df, out, **k: edge_distance(df, out=out, **k), 1),
     "active_mask": (_active_mask, 4),
     "agreement": (_agree, 4),
     "noise_strength": (_noise_strength, 6),

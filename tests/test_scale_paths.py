@@ -128,17 +128,3 @@ def test_weighted_sample_follows_the_weights(spark):
     assert sum(counts.values()) == 20000
     assert counts[7] / 20000 == pytest.approx(50 / 99, abs=0.02)
     assert max(v for k, v in counts.items() if k != 7) / 20000 == pytest.approx(1 / 99, abs=0.005)
-
-
-def test_nearest_fill_and_edge_distance(spark, grid, back):
-    rng = np.random.default_rng(9)
-    v, m = rng.random((7, 9)), rng.random((7, 9)) < 0.3
-    df = grid({1: {"v": v, "m": m}})
-    filled = back(M.fill_nearest(df, "v", "m", "f"), "f")
-    dist = back(M.edge_distance(df, "m", "d", 3), "d")
-    for y in range(7):
-        for x in range(9):
-            near = min(((y - a) ** 2 + (x - b) ** 2, a, b) for a, b in zip(*np.nonzero(m)))
-            assert filled[y, x] == v[near[1], near[2]]
-            gap = min((y - a) ** 2 + (x - b) ** 2 for a, b in zip(*np.nonzero(~m)))
-            assert dist[y, x] == pytest.approx(gap**0.5 if gap <= 9 else np.inf)
