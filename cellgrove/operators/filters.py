@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +12,9 @@ from cellgrove.functions import kernels as K
 from cellgrove.functions.colour import clip
 from cellgrove.operators.cells import SIZE, join_stats
 from cellgrove.operators.masked import inside, normalise
-from cellgrove.operators.neighbourhood import correlate_many, neighbourhood, separable, separable_many
+from cellgrove.operators.neighbourhood import correlate_many, separable
 from cellgrove.operators.quantiles import group_stats
+from cellgrove.operators.tiles import run
 
 
 def gaussian(df: DataFrame, value: str, sigma: float, border: str, out: str, radius: int | None = None) -> DataFrame:
@@ -26,16 +28,21 @@ def dark_scales(
 
     Each scale's rectified difference is smoothed and scaled per image inside
     the mask. Every group of sigmas yields one column ``<out>_<group>``, its
-    largest value per cell. All scales share two stencil passes for the
-    surroundings, two for the smoothing and one statistics pass.
+    largest value per cell. All scales share one pass over tiles and one
+    statistics pass.
     """
     sigmas = sorted({s for g in groups.values() for s in g})
-    wide = separable_many(df, {f"_b{i}": (value, K.gaussian_line(s)) for i, s in enumerate(sigmas)}, border)
-    dark = wide.withColumns({f"_d{i}": F.greatest(F.col(f"_b{i}") - F.col(value), F.lit(0.0)) for i in range(len(sigmas))})
-    dark = dark.drop(*[f"_b{i}" for i in range(len(sigmas))])
-    line = K.gaussian_line(smooth)
-    soft = separable_many(dark, {f"_e{i}": (f"_d{i}", line) for i in range(len(sigmas))}, border)
-    soft = soft.drop(*[f"_d{i}" for i in range(len(sigmas))])
+    lines, line = [K.gaussian_line(s) for s in sigmas], K.gaussian_line(smooth)
+
+    def chain(b):
+        made, (values, known) = {}, b.layers[value]
+        for i, wide in enumerate(lines):
+            around, some = b.separable((values, known), wide, border)
+            made[f"_e{i}"] = b.separable((np.maximum(around - values, 0.0), known & some), line, border)
+        return made
+
+    reach = max(abs(d) for wide in lines for d in wide) + max(abs(d) for d in line)
+    soft = run(df, [value], reach, chain, {f"_e{i}": "" for i in range(len(sigmas))})
     spec, aggs = {}, {}
     for i in range(len(sigmas)):
         v = inside(f"_e{i}", mask)
@@ -103,35 +110,33 @@ def dog_response(df: DataFrame, value: str, sigmas: tuple, ratio: float, border:
 
 
 def focal_median(df: DataFrame, value: str, k: int, out: str, border: str = "replicate") -> DataFrame:
-    """Median over a k x k window; the window bounds each cell's group."""
-    window = [(t[0], t[1]) for t in K.square(k)]
-    return neighbourhood(df, window, {out: F.median(F.col(value))}, border)
-
-
-def _moments(df: DataFrame, value: str, k: int, border: str) -> DataFrame:
-    """Box means of the value and its square, rows then columns."""
-    r = k // 2
-    v = F.col(value)
-    row = neighbourhood(
-        df, [(0, d) for d in range(-r, k - r)], {"_s1": F.sum(v), "_s2": F.sum(v * v)}, border
-    )
-    return neighbourhood(
-        row,
-        [(d, 0) for d in range(-r, k - r)],
-        {"_ma": F.sum(F.col("_s1")) / float(k * k), "_mb": F.sum(F.col("_s2")) / float(k * k)},
-        border,
-    ).drop("_s1", "_s2")
+    """Median over a k x k window."""
+    return run(df, [value], k // 2, lambda b: {out: b.median(b.layers[value], k, border)}, {out: ""})
+
+
+def _local(df: DataFrame, value: str, windows: dict[int, tuple[str, str]], border: str) -> DataFrame:
+    """Mean and population deviation under k x k windows, k -> (mean, std), in one pass over tiles."""
+    names = [n for pair in windows.values() for n in pair]
+
+    def chain(b):
+        values, known = b.layers[value]
+        made = {}
+        for k, (mean, std) in windows.items():
+            line = {d: 1.0 for d in range(-(k // 2), k - k // 2)}
+            (s1, some), (s2, _) = (b.separable((v, known), line, border) for v in (values, values * values))
+            m1, m2 = s1 / (k * k), s2 / (k * k)
+            made[mean], made[std] = (m1, some), (np.sqrt(np.maximum(m2 - m1 * m1, 0.0)), some)
+        return made
+
+    return run(df, [value], max(k // 2 for k in windows), chain, dict.fromkeys(names, ""))
 
 
 def local_std(df: DataFrame, value: str, k: int, out: str, border: str = "reflect") -> DataFrame:
-    m = _moments(df, value, k, border)
-    return m.withColumn(out, F.sqrt(F.greatest(F.col("_mb") - F.col("_ma") * F.col("_ma"), F.lit(0.0)))).drop("_ma", "_mb")
+    return _local(df, value, {k: ("_lm", out)}, border).drop("_lm")
 
 
 def local_mean_std(df: DataFrame, value: str, k: int, mean: str, std: str, border: str = "reflect") -> DataFrame:
-    m = _moments(df, value, k, border)
-    spread = F.sqrt(F.greatest(F.col("_mb") - F.col("_ma") * F.col("_ma"), F.lit(0.0)))
-    return m.withColumns({mean: F.col("_ma"), std: spread}).drop("_ma", "_mb")
+    return _local(df, value, {k: (mean, std)}, border)
 
 
 def local_z(
@@ -141,20 +146,20 @@ def local_z(
 
     ``scales`` are (window, least deviation, cap); the largest score counts.
     """
-    scores = []
-    for i, (k, least, cap) in enumerate(scales):
-        df = local_mean_std(df, value, k, f"_m{i}", f"_d{i}", border)
-        dark = F.greatest(F.col(f"_m{i}") - F.col(value), F.lit(0.0))
-        scores.append(clip(dark / F.greatest(F.col(f"_d{i}"), F.lit(least)) / cap))
+    windows = {k: (f"_m{k}", f"_d{k}") for k, _, _ in scales}
+    df = _local(df, value, windows, border)
+    dark = lambda k: F.greatest(F.col(f"_m{k}") - F.col(value), F.lit(0.0))
+    scores = [clip(dark(k) / F.greatest(F.col(f"_d{k}"), F.lit(least)) / cap) for k, least, cap in scales]
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    temps = [f"_{t}{i}" for t in "md" for i in range(len(scales))]
+    temps = [n for pair in windows.values() for n in pair]
     return df.withColumn(out, F.when(F.col(mask), best).otherwise(0.0)).drop(*temps)
 
 
 def noise_maps(df: DataFrame, value: str, sigma: float, k: int, border: str = "reflect") -> DataFrame:
     """High-frequency residual against a Gaussian, and residual against a median."""
-    smooth = gaussian(df, value, sigma, border, "_g")
-    medial = focal_median(smooth, value, k, "_md")
+    line = K.gaussian_line(sigma)
+    chain = lambda b: {"_g": b.separable(b.layers[value], line, border), "_md": b.median(b.layers[value], k, "replicate")}
+    medial = run(df, [value], max(k // 2, *line), chain, {"_g": "", "_md": ""})
     return medial.withColumns(
         {"high_frequency": F.abs(F.col(value) - F.col("_g")), "residual": F.abs(F.col(value) - F.col("_md"))}
     ).drop("_g", "_md")
@@ -165,23 +170,25 @@ def bilateral(
 ) -> DataFrame:
     """Edge-preserving smoothing over a disc of diameter d.
 
-    Each cell collects its at most d * d neighbours and weighs them by distance
-    and by difference from its own value.
+    Neighbours are weighed by distance and by difference from the cell's own value.
     """
     r = max(1, d // 2)
-    taps = [
-        (dy, dx, math.exp(-(dy * dy + dx * dx) / (2.0 * sigma_space**2)))
-        for dy in range(-r, r + 1)
-        for dx in range(-r, r + 1)
-        if dy * dy + dx * dx <= r * r
-    ]
-    near = neighbourhood(
-        df, taps, {"_near": F.collect_list(F.struct(F.col("_ws").alias("w"), F.col(value).alias("v")))}, border, ("_ws",)
-    )
-    weight = lambda n: n["w"] * F.exp(-F.pow(n["v"] - F.col(value), F.lit(2.0)) / (2.0 * sigma_color**2))
-    top = F.aggregate("_near", F.lit(0.0), lambda acc, n: acc + weight(n) * n["v"])
-    bottom = F.aggregate("_near", F.lit(0.0), lambda acc, n: acc + weight(n))
-    return near.withColumn(out, top / bottom).drop("_near")
+    taps = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r]
+
+    def chain(b):
+        values, known = b.layers[value]
+        near, met = b.padded((values, known), r, r, border)
+        n, m = values.shape
+        top, bottom = np.zeros((n, m)), np.zeros((n, m))
+        for dy, dx in taps:
+            at = np.s_[r + dy : r + dy + n, r + dx : r + dx + m]
+            apart = near[at] - values
+            w = met[at] * math.exp(-(dy * dy + dx * dx) / (2.0 * sigma_space**2)) * np.exp(-apart * apart / (2.0 * sigma_color**2))
+            top += w * near[at]
+            bottom += w
+        return {out: (top / np.where(bottom > 0, bottom, 1.0), known)}
+
+    return run(df, [value], r, chain, {out: ""})
 
 
 def gradient(df: DataFrame, value: str, gx: str, gy: str, border: str = "reflect101") -> DataFrame:
@@ -192,25 +199,19 @@ def coherence(
     df: DataFrame, value: str, sigma: float, out: str, border: str = "reflect101", radius: int | None = None
 ) -> DataFrame:
     """Structure-tensor coherence: eigenvalue gap over trace of the smoothed tensor."""
-    g = gradient(df, value, "_gx", "_gy", border)
-    taps = [(*k, w) for k, w in K.gaussian(sigma, radius).items()]
-    w = F.col("_wg")
-    smooth = neighbourhood(
-        g,
-        taps,
-        {
-            "_jxx": F.sum(w * F.col("_gx") * F.col("_gx")),
-            "_jyy": F.sum(w * F.col("_gy") * F.col("_gy")),
-            "_jxy": F.sum(w * F.col("_gx") * F.col("_gy")),
-        },
-        border,
-        ("_wg",),
-    )
+    window = K.gaussian(sigma, radius)
+    sobel = [K.sobel("x"), K.sobel("y")]
+
+    def chain(b):
+        (gx, known), (gy, _) = b.correlate(b.layers[value], sobel, border)
+        products = {"_jxx": gx * gx, "_jyy": gy * gy, "_jxy": gx * gy}
+        return {n: b.correlate((p, known), [window], border)[0] for n, p in products.items()}
+
+    reach = 1 + max(max(abs(y), abs(x)) for y, x in window)
+    smooth = run(df, [value], reach, chain, dict.fromkeys(("_jxx", "_jyy", "_jxy"), ""))
     diff = F.col("_jxx") - F.col("_jyy")
     gap = F.sqrt(diff * diff + 4.0 * F.col("_jxy") * F.col("_jxy"))
-    return smooth.withColumn(out, clip(gap / (F.col("_jxx") + F.col("_jyy") + 1e-6))).drop(
-        "_gx", "_gy", "_jxx", "_jyy", "_jxy"
-    )
+    return smooth.withColumn(out, clip(gap / (F.col("_jxx") + F.col("_jyy") + 1e-6))).drop("_jxx", "_jyy", "_jxy")
 
 
 def _eigenvalues(a: Column, b: Column, c: Column) -> tuple[Column, Column]:

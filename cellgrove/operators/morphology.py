@@ -5,26 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.operators.neighbourhood import neighbourhood
+from cellgrove.operators.tiles import run
 
 Element = list[tuple[int, int]]
 
 
-def extremes(df: DataFrame, specs: dict[str, tuple[str, Element, str]]) -> DataFrame:
-    """Several window minima or maxima in one pass: out -> (column, element, 'min' | 'max').
+def extreme_chains(df: DataFrame, specs: dict[str, tuple[str, list[tuple[Element, str]]]]) -> DataFrame:
+    """Minima and maxima one after another, in one pass: out -> (column, [(element, 'min' | 'max'), ...]).
 
-    Cells outside the raster take no part.
+    Cells outside the raster take no part. Work on a cell is constant for lines
+    and boxes of any length, and goes with the number of rows of other elements.
     """
-    support = sorted({t for _, el, _ in specs.values() for t in el} | {(0, 0)})
-    flags = tuple(f"_e{i}" for i in range(len(specs)))
-    members = [set(el) for _, el, _ in specs.values()]
-    taps = [(*t, *[float(t in m) for m in members]) for t in support]
-    whole = all(m == set(support) for m in members)
-    aggs = {}
-    for flag, (out, (col, _, kind)) in zip(flags, specs.items()):
-        v = F.col(col) if whole else F.when(F.col(flag) == 1.0, F.col(col))
-        aggs[out] = F.min(v) if kind == "min" else F.max(v)
-    return neighbourhood(df, taps, aggs, "constant", flags)
+    reach = max(sum(max(max(abs(a), abs(b)) for a, b in el) for el, _ in steps) for _, steps in specs.values())
+
+    def chain(b):
+        made, done = {}, {}
+        for out, (col, steps) in specs.items():
+            layer, path = b.layers[col], (col,)
+            for el, kind in steps:
+                path = (*path, kind, tuple(el))  # chains with the same beginning share it
+                layer = done[path] if path in done else done.setdefault(path, b.extreme(layer, el, kind))
+            made[out] = layer
+        return made
+
+    return run(df, sorted({c for c, _ in specs.values()}), reach, chain, {o: c for o, (c, _) in specs.items()})
+
+
+def extremes(df: DataFrame, specs: dict[str, tuple[str, Element, str]]) -> DataFrame:
+    """Several window minima or maxima in one pass: out -> (column, element, 'min' | 'max')."""
+    return extreme_chains(df, {o: (c, [(el, kind)]) for o, (c, el, kind) in specs.items()})
 
 
 def erode(df: DataFrame, value: str, element: Element, out: str) -> DataFrame:
@@ -36,28 +45,19 @@ def dilate(df: DataFrame, value: str, element: Element, out: str) -> DataFrame:
 
 
 def opening(df: DataFrame, value: str, element: Element, out: str) -> DataFrame:
-    return dilate(erode(df, value, element, "_er"), "_er", element, out).drop("_er")
+    return extreme_chains(df, {out: (value, [(element, "min"), (element, "max")])})
 
 
 def closing(df: DataFrame, value: str, element: Element, out: str, times: int = 1) -> DataFrame:
     """Close; ``times`` repeats the dilations before the erosions."""
-    src = value
-    for i in range(times):
-        df = dilate(df, src, element, f"_m{i}")
-        src = f"_m{i}"
-    for i in range(times, 2 * times):
-        df = erode(df, src, element, f"_m{i}")
-        src = f"_m{i}"
-    return df.withColumn(out, F.col(src)).drop(*[f"_m{i}" for i in range(2 * times)])
+    return extreme_chains(df, {out: (value, [(element, "max")] * times + [(element, "min")] * times)})
 
 
 def _hats(df, value, elements, first, second, sign):
-    """One opening or closing per element, all elements sharing two passes."""
-    n = len(elements)
-    df = extremes(df, {f"_p{i}": (value, el, first) for i, el in enumerate(elements)})
-    df = extremes(df, {f"_q{i}": (f"_p{i}", el, second) for i, el in enumerate(elements)})
-    hats = [F.greatest(sign * (F.col(value) - F.col(f"_q{i}")), F.lit(0.0)) for i in range(n)]
-    return df, hats, [f"_{s}{i}" for s in "pq" for i in range(n)]
+    """One opening or closing per element, all elements in one pass."""
+    temps = [f"_q{i}" for i in range(len(elements))]
+    df = extreme_chains(df, {q: (value, [(el, first), (el, second)]) for q, el in zip(temps, elements)})
+    return df, [F.greatest(sign * (F.col(value) - F.col(q)), F.lit(0.0)) for q in temps], temps
 
 
 def _combine(hats, how):

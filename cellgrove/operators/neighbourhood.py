@@ -1,6 +1,6 @@
-"""Stencils as one scatter and one hash aggregate.
+"""Windows: linear filters on tiles, and any other aggregate as one scatter and one hash aggregate.
 
-Every cell is sent to the targets whose window covers it, and the contributions
+In ``neighbourhood`` every cell is sent to the targets whose window covers it, and the contributions
 are summed per target. Spark combines them before the shuffle, so what travels
 is about one row per cell, not one per kernel tap, and the key (image, y, x)
 spreads even a single huge raster over all tasks.
@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrove.operators.cells import GRID
-
-BORDERS = ("reflect", "reflect101", "replicate", "constant")
+from cellgrove.operators.tiles import BORDERS, run
 
 
 def _images(axis: str, size: str, r: int, border: str) -> Column:
@@ -109,17 +108,11 @@ def neighbourhood(
 
 
 def correlate_many(df: DataFrame, value: str, kernels: dict[str, dict], border: str) -> DataFrame:
-    """Correlate one column with several kernels in a single pass.
-
-    A kernel is ``{(dy, dx): weight}``. All kernels share one scatter.
-    """
-    support = sorted({k for ker in kernels.values() for k in ker} | {(0, 0)})
-    names = tuple(f"_w{i}" for i in range(len(kernels)))
-    taps = [(*k, *[ker.get(k, 0.0) for ker in kernels.values()]) for k in support]
-    aggs = {
-        out: F.sum(F.col(value) * F.col(w)) for w, out in zip(names, kernels)
-    }
-    return neighbourhood(df, taps, aggs, border, names)
+    """Correlate one column with several kernels ``{(dy, dx): weight}`` in a single pass over tiles."""
+    reach = max(max(abs(a), abs(b)) for kernel in kernels.values() for a, b in kernel)
+    weights = list(kernels.values())
+    chain = lambda b: dict(zip(kernels, b.correlate(b.layers[value], weights, border)))
+    return run(df, [value], reach, chain, dict.fromkeys(kernels, ""))
 
 
 def correlate(df: DataFrame, value: str, kernel: dict, border: str, out: str) -> DataFrame:
@@ -127,19 +120,11 @@ def correlate(df: DataFrame, value: str, kernel: dict, border: str, out: str) ->
 
 
 def separable_many(df: DataFrame, specs: dict[str, tuple[str, dict[int, float]]], border: str) -> DataFrame:
-    """Several separable filters, out -> (column, 1-D kernel), in two passes altogether."""
-    reach = sorted({d for _, line in specs.values() for d in line} | {0})
-    names = tuple(f"_w{i}" for i in range(len(specs)))
-    lines = [line for _, line in specs.values()]
-    weights = [[line.get(d, 0.0) for line in lines] for d in reach]
-    row = {f"_s{i}": F.sum(F.col(c) * F.col(names[i])) for i, (c, _) in enumerate(specs.values())}
-    col = {out: F.sum(F.col(f"_s{i}") * F.col(names[i])) for i, out in enumerate(specs)}
-    first = neighbourhood(df, [(0, d, *w) for d, w in zip(reach, weights)], row, border, names)
-    second = neighbourhood(first, [(d, 0, *w) for d, w in zip(reach, weights)], col, border, names)
-    return second.drop(*row)
+    """Several separable filters, out -> (column, 1-D kernel), in one pass altogether: 2k taps instead of k squared."""
+    reach = max(abs(d) for _, line in specs.values() for d in line)
+    chain = lambda b: {o: b.separable(b.layers[c], line, border) for o, (c, line) in specs.items()}
+    return run(df, sorted({c for c, _ in specs.values()}), reach, chain, dict.fromkeys(specs, ""))
 
 
 def separable(df: DataFrame, value: str, taps: dict[int, float], border: str, out: str) -> DataFrame:
-    """Row pass then column pass of a 1-D kernel: 2k taps instead of k squared."""
-    first = correlate(df, value, {(0, d): w for d, w in taps.items()}, border, "_sep")
-    return correlate(first, "_sep", {(d, 0): w for d, w in taps.items()}, border, out).drop("_sep")
+    return separable_many(df, {out: (value, taps)}, border)
