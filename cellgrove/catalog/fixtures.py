@@ -119,8 +119,8 @@ u8 AS (SELECT c.*, n, floor(n * 255.0) AS v8 FROM (SELECT c.*,
 )
 
 _FOLD = {
-    "reflect": "CASE WHEN {u} < 0 THEN -1 - ({u}) WHEN {u} > 7 THEN 15 - ({u}) ELSE {u} END",
-    "reflect101": "CASE WHEN {u} < 0 THEN -({u}) WHEN {u} > 7 THEN 14 - ({u}) ELSE {u} END",
+    "reflect": "least((({u}) % 16 + 16) % 16, 15 - (({u}) % 16 + 16) % 16)",
+    "reflect101": "least((({u}) % 14 + 14) % 14, 14 - (({u}) % 14 + 14) % 14)",
     "replicate": "least(greatest({u}, 0), 7)",
     "constant": "{u}",
 }

@@ -89,8 +89,8 @@ def _(read):
     return pick(T.filter_bank_max(cells(read), "v", LINES, "reflect", "r"), "r")
 
 
-GABOR_FULL = T.gabor_bank(T.GABOR_SCALES[:2], 30)
-MATCHED_FULL = T.matched_bank(T.MATCHED_FINE, 30)
+GABOR_FULL = T.gabor_bank()
+MATCHED_FULL = T.matched_bank(T.MATCHED_FINE)
 DOGS = [K.difference(K.gaussian(s), K.gaussian(s * 1.4)) for s in (0.5, 0.8)]
 
 

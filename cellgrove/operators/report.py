@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellgrove.functions.logits import argmax, expected_rank, shift_class, soft_cross_entropy
+from cellgrove.functions.logits import argmax, expected_rank, let, soft_cross_entropy
 
 
 def pair_counts(df: DataFrame, y: str, pred: str, by: list[str] = ()) -> DataFrame:
@@ -154,25 +154,45 @@ def bias_sweep(
     """Try additive biases on one class's score and keep the best macro-F1.
 
     Only a strict improvement over no bias counts, and the lowest bias wins
-    among equals. Each row expands to its predictions in place and is counted
-    map-side, so one (bias, truth, prediction) table of fixed size is shuffled.
+    among equals. A row's prediction turns from the best other class to ``cls`` at
+    one bias and stays there, so it is counted once, by truth, other class and the
+    number of biases below that point; running sums over the biases give all
+    their confusion tables.
     """
     step = (hi - lo) / (steps - 1)
-    biases = F.array(
-        F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("bias")),
-        *[F.struct(F.lit(i).alias("i"), F.lit(lo + i * step).alias("bias")) for i in range(steps)],
-    )
-    tried = oof.select(F.col(y).alias("y"), F.col(logits).alias("z"), F.inline(biases)).select(
-        "y", "i", "bias", argmax(shift_class(F.col("z"), cls, F.col("bias"))).alias("pred")
-    )
+    biases = [lo + i * step for i in range(steps)]
+    z = F.col(logits)
+    rest = F.transform(z, lambda v, i: F.when(i != cls, v))
+    row = F.struct(F.get(z, cls).alias("own"), F.array_max(rest).alias("top"), argmax(rest).alias("other"))
+
+    def wins(r: Column, bias: Column) -> Column:
+        moved = r["own"] + bias
+        better = (moved > r["top"]) | ((moved == r["top"]) & (F.lit(cls) < r["other"]))
+        return F.when(r["top"].isNull(), moved.isNotNull()).otherwise(F.coalesce(better, F.lit(False)))
+
+    tries = F.array(*[F.lit(b) for b in biases])
+    turn = let(row, lambda r: F.struct(r["other"].alias("other"), F.size(F.filter(tries, lambda b: ~wins(r, b))).alias("below"), wins(r, F.lit(0.0)).alias("base")))
+    turns = oof.select(F.col(y).alias("y"), turn.alias("t")).select("y", "t.*")
+    counted = turns.groupBy("y", "other", "below", "base").agg(F.count("*").alias("n"))
+    # from here on a table of fixed size: one list for each truth and other class
+    lists = counted.groupBy("y", "other").agg(F.sum("n").alias("all"), F.collect_list(F.struct("below", "base", "n")).alias("at"))
+
+    def table(i: Column) -> Column:
+        own = F.filter("at", lambda x: F.when(i < 0, x["base"]).otherwise(x["below"] <= i))
+        own = F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+        return F.struct(i.alias("i"), F.when(i < 0, 0.0).otherwise(F.get(tries, i)).alias("bias"), own.alias("own"))
+
+    # i = -1 is the unbiased row; being first it also wins every tie
+    every = F.transform(F.sequence(F.lit(-1), F.lit(steps - 1)), table)
+    sides = F.array(F.struct(F.lit(cls).alias("pred"), F.col("own").alias("n")), F.struct(F.col("other").alias("pred"), (F.col("all") - F.col("own")).alias("n")))
+    tried = lists.select("y", "other", "all", F.inline(every)).select("i", "bias", "y", F.inline(sides)).filter("n > 0")
     by = ["i", "bias"]
-    scores = averages(per_class(pair_counts(tried, "y", "pred", by), classes, by), by).select(
+    scores = averages(per_class(tried, classes, by), by).select(
         *by, F.round("macro_f1", 12).alias("f1")
     )
     best = F.max_by(
         F.struct("bias", "f1"), F.struct(F.col("f1"), -F.col("i"), -F.col("bias"))
     ).alias("best")
-    # i = -1 is the unbiased row; being first it also wins every tie
     return scores.agg(best, F.max(F.when(F.col("i") == -1, F.col("f1"))).alias("base_macro_f1")).select(
         F.col("best.bias").alias("bias"), "base_macro_f1", F.col("best.f1").alias("macro_f1")
     )

@@ -101,6 +101,27 @@ def test_bias_sweep_prefers_no_bias_on_ties(spark):
     assert row.bias == -3.0 and row.macro_f1 == 1.0 > row.base_macro_f1
 
 
+def test_bias_sweep_against_each_bias(spark):
+    rng = np.random.default_rng(8)
+    z = np.round(rng.normal(size=(300, 4)), 1)  # many ties
+    y = rng.integers(0, 4, 300)
+    df = spark.createDataFrame([(int(a), [float(v) for v in b]) for a, b in zip(y, z)], "y int, z array<double>")
+    for cls in (0, 2, 3):
+
+        def f1(bias):
+            moved = z.copy()
+            moved[:, cls] += bias
+            p, per = moved.argmax(1), []
+            for c in range(4):
+                both = ((y == c) & (p == c)).sum()
+                per.append(2 * both / ((y == c).sum() + (p == c).sum()))
+            return round(float(np.mean(per)), 12)
+
+        tried = [(f1(b), -i, b) for i, b in [(-1, 0.0), *[(i, -3.0 + i * 0.05) for i in range(81)]]]
+        row = report.bias_sweep(df, "y", "z", cls, [0, 1, 2, 3]).first()
+        assert (row.bias, row.macro_f1, row.base_macro_f1) == (max(tried)[2], pytest.approx(max(tried)[0]), pytest.approx(f1(0.0)))
+
+
 def test_lab_round_trip(spark):
     df = spark.range(125).select(*[((F.floor(F.col("id") / d) % 5) / 4.0).alias(c) for c, d in (("r", 1), ("g", 5), ("b", 25))])
     lab = df.select("*", *[v.alias(f"_{n}") for n, v in colour.rgb_to_lab(*[F.col(c) for c in "rgb"]).items()])
