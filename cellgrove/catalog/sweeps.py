@@ -28,9 +28,13 @@ res AS (SELECT *, {PREC} AS precision, {SENS} AS sensitivity, {ACC} AS accuracy,
 
 
 def sweep(read):
+    return J.evaluate_densities(masked_cells(read), "v", "gt", "fov", DENSITIES)
+
+
+def called_sweep(read):
+    """The same through a user's function over configurations."""
     samples = masked_cells(read).drop("pred")
-    spark = samples.sparkSession
-    configs = J.param_grid(spark, {"density": DENSITIES})
+    configs = J.param_grid(samples.sparkSession, {"density": DENSITIES})
     cutoffs = J.cutoffs_by_density(samples, "v", "fov", DENSITIES)
     pick = lambda df: df.withColumn("pred", F.col("v") >= F.col("cutoffs")[F.col("cfg.density")])
     return J.evaluate_grid(configs, join_stats(samples, cutoffs), pick, "gt", "fov")
@@ -72,6 +76,14 @@ def _(read):
     return rounded(sweep(read))
 
 
+@query(
+    "J3_user_function",
+    f"""{POOLED} SELECT density, tp, fp, fn, tn, sample_count, {', '.join(f'round({c}, 6) AS {c}' for c in ('mean_precision', 'mean_sensitivity', 'mean_accuracy', 'mean_dice', 'precision', 'sensitivity', 'accuracy', 'dice'))} FROM res""",
+)
+def _(read):
+    return rounded(called_sweep(read))
+
+
 @query(
     "J4_shortlist",
     f"""{POOLED}, f AS (SELECT * FROM res WHERE precision >= 0.9 OR (SELECT count(*) FROM res WHERE precision >= 0.9) = 0),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellgrove.operators.cells import SIZE
+from cellgrove.operators.cells import SIZE, join_stats
 from cellgrove.operators.evaluate import confusion_counts, pool_metrics
 from cellgrove.operators.quantiles import group_stats
 
@@ -85,6 +85,30 @@ def cutoffs_by_density(samples: DataFrame, value: str, region: str, densities: l
     return found.select("image_id", F.create_map(*pairs).alias("cutoffs"))
 
 
+def density_counts(samples: DataFrame, value: str, gt: str, region: str, densities: list[float]) -> DataFrame:
+    """density, image_id, tp, fp, fn, tn of the mask that each density gives, all densities at once.
+
+    A cell is looked up once among its image's cut-off values and counted under
+    the set of densities that take it in; there are about as many sets as densities, and
+    sums over them give every table. Cells never meet the configurations one by one.
+    """
+    v = F.when(F.col(region), F.col(value))
+    names = [f"_q{i}" for i in range(len(densities))]
+    cuts = group_stats(samples, ["image_id"], {q: (v, 1.0 - d) for q, d in zip(names, densities)}, size=SIZE)
+    inside = samples.filter(F.col(region) & F.col(value).isNotNull() & F.col(gt).isNotNull())
+    taken = F.array(*[F.col(value) >= F.col(q) for q in names])
+    sets = join_stats(inside, cuts).groupBy("image_id", taken.alias("taken")).agg(F.count_if(F.col(gt)).alias("hit"), F.count_if(~F.col(gt)).alias("off"))
+    each = F.inline(F.arrays_zip(F.array(*[F.lit(d) for d in densities]).alias("density"), F.col("taken").alias("p")))
+    of = lambda c, holds: F.sum(F.when(holds, F.col(c)).otherwise(0)).alias
+    p = F.col("p")
+    return sets.select("image_id", "hit", "off", each).groupBy("density", "image_id").agg(of("hit", p)("tp"), of("off", p)("fp"), of("hit", ~p)("fn"), of("off", ~p)("tn"))
+
+
+def evaluate_densities(samples: DataFrame, value: str, gt: str, region: str, densities: list[float], rule: str = "guarded") -> DataFrame:
+    """Pooled and mean metrics of every density over all samples; as ``evaluate_grid`` with a density threshold."""
+    return pool_metrics(density_counts(samples, value, gt, region, densities), ["density"], rule)
+
+
 def _top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 

@@ -118,6 +118,26 @@ def threshold(df: DataFrame, value: str, mask: str, method: str, density: float,
     return join_stats(df, cut_at).withColumn(out, F.col(mask) & (F.col(value) >= F.col("_cut"))).drop("_cut")
 
 
+def quantiles_at(df: DataFrame, value: Column, at: DataFrame, out: str, bins: int = 256) -> DataFrame:
+    """image_id and the percentile ``out`` of ``value`` at each image's own share ``p`` (of ``at``: image_id, p).
+
+    Linear interpolation between ranks, exact. Values are counted per (image,
+    value) and ranked inside (image, value bin), so that no image is sorted in one
+    task. Images without a value get null.
+    """
+    rows = df.select("image_id", value.cast("double").alias("v")).filter("v is not null")
+    edges = rows.groupBy(*ID).agg(F.min("v").alias("_mn"), F.max("v").alias("_mx"), F.count("*").alias("_n")).join(at, ID)
+    place = F.col("p") * (F.col("_n") - 1)
+    edges = edges.withColumns({"_lo": F.floor(place), "_hi": F.ceil(place), "_part": place - F.floor(place)})
+    bin_of = F.floor((F.col("v") - F.col("_mn")) / F.greatest(F.col("_mx") - F.col("_mn"), F.lit(1e-300)) * bins)
+    counted = rows.groupBy("image_id", "v").agg(F.count("*").alias("c")).join(edges, ID)
+    ranked = bucketed_row_number(counted, ID, [(F.least(bin_of, F.lit(bins - 1)), True)], [F.col("v")], "_rn", F.col("c"), "_end")
+    holds = lambda rank: F.max(F.when((F.col("_end") - F.col("c") <= F.col(rank)) & (F.col(rank) < F.col("_end")), F.col("v")))
+    picked = ranked.groupBy(*ID).agg(holds("_lo").alias("a"), holds("_hi").alias("b"), F.first("_part").alias("f"))
+    found = picked.select("image_id", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias(out))
+    return at.select("image_id").join(found, ID, "left")
+
+
 def elbow_density(
     df: DataFrame, value: str, mask: str, lo: float = 0.06, hi: float = 0.16, least: int = 100, bins: int = 256
 ) -> DataFrame:

@@ -73,18 +73,8 @@ def _adaptive_mask(df, out, value, mask, bins=256, least=100):
 
 def _elbow_mask(df, out, value, mask, lo=0.06, hi=0.16, least=100):
     """Threshold at the elbow density: rank of each image's value at that share."""
-    density = G.elbow_density(df, value, mask, lo, hi, least)
-    at = M.join_stats(df, density)
-    ranked = M.group_stats(
-        at, ["image_id"], {f"_q{i}": (F.when(F.col(value) > 0, M.inside(value, mask)), i / 100.0) for i in range(101)},
-        {"_d": F.first("density")}, "cast(h as bigint) * w",
-    )
-    place = 100.0 * (1.0 - F.col("_d"))
-    table = F.array(*[F.col(f"_q{i}") for i in range(101)])
-    low = F.floor(place).cast("int")
-    high = F.least(low + 1, F.lit(100))
-    level = table[low] + (table[high] - table[low]) * (place - low)
-    levels = ranked.select("image_id", level.alias("_cut"))
+    share = G.elbow_density(df, value, mask, lo, hi, least).select("image_id", (1.0 - F.col("density")).alias("p"))
+    levels = G.quantiles_at(df, F.when(F.col(value) > 0, M.inside(value, mask)), share, "_cut")
     return M.join_stats(df, levels).withColumn(out, F.col(mask) & (F.col(value) >= F.col("_cut"))).drop("_cut")
 
 

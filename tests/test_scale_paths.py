@@ -13,6 +13,7 @@ from cellgrove.operators.graph import connected_components
 from cellgrove.operators.quantiles import group_stats
 from cellgrove.operators.ranking import bucketed_row_number, global_row_number
 from cellgrove.operators.skeleton import thin
+from cellgrove.operators.threshold import quantiles_at
 
 
 def flood(mask, conn):
@@ -128,3 +129,15 @@ def test_weighted_sample_follows_the_weights(spark):
     assert sum(counts.values()) == 20000
     assert counts[7] / 20000 == pytest.approx(50 / 99, abs=0.02)
     assert max(v for k, v in counts.items() if k != 7) / 20000 == pytest.approx(1 / 99, abs=0.005)
+
+
+def test_quantiles_at_each_images_own_share(spark):
+    rng = np.random.default_rng(12)
+    rows = [(g, float(v)) for g, n in ((1, 500), (2, 8), (3, 1), (5, 40)) for v in np.round(rng.normal(size=n), 1)]
+    shares = {1: 0.93, 2: 0.5, 3: 0.2, 4: 0.4, 5: 1.0}
+    df = spark.createDataFrame([*rows, (1, None), (4, None)], "image_id long, v double")
+    got = quantiles_at(df, F.col("v"), spark.createDataFrame(list(shares.items()), "image_id long, p double"), "q", bins=7).collect()
+    assert len(got) == 5
+    for r in got:
+        values = [v for g, v in rows if g == r.image_id]
+        assert r.q == (pytest.approx(np.percentile(values, 100 * shares[r.image_id]), abs=1e-12) if values else None)
