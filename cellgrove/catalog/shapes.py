@@ -229,12 +229,18 @@ ring AS (SELECT m.image_id, avg(m.v) AS rv FROM masked m WHERE fov AND EXISTS (S
   AND NOT EXISTS (SELECT 1 FROM cell c WHERE c.image_id = m.image_id AND c.y = m.y AND c.x = m.x) GROUP BY m.image_id),
 w AS (SELECT image_id, greatest(count(*) FILTER (fov), 1) AS nf, count(*) FILTER (pred) AS np, count(DISTINCT comp) AS nc, avg(v) FILTER (fov) AS rm,
   stddev_pop(v) FILTER (fov) AS rs, quantile_cont(v, 0.95) FILTER (fov) AS r95, quantile_cont(v, 0.99) FILTER (fov) AS r99 FROM lab GROUP BY image_id),
-k AS (SELECT *, CASE WHEN area <= 2 THEN 1.0 ELSE emax END AS big, CASE WHEN area <= 2 THEN 1.0 ELSE abs(emin) END AS low FROM mn)
+k AS (SELECT *, CASE WHEN area <= 2 THEN 1.0 ELSE emax END AS big, CASE WHEN area <= 2 THEN 1.0 ELSE abs(emin) END AS low FROM mn),
+e AS (SELECT image_id, y, min(x) AS lo, max(x) AS hi FROM cell GROUP BY ALL),
+side AS (SELECT m.image_id, m.y, min(a.lo + coalesce((b.lo - a.lo) * (m.y - a.y) / nullif(b.y - a.y, 0)::DOUBLE, 0)) AS lo,
+  max(a.hi + coalesce((b.hi - a.hi) * (m.y - a.y) / nullif(b.y - a.y, 0)::DOUBLE, 0)) AS hi
+  FROM e m JOIN e a ON a.image_id = m.image_id AND a.y <= m.y JOIN e b ON b.image_id = m.image_id AND b.y >= m.y GROUP BY ALL),
+hull AS (SELECT s.image_id, coalesce(sum((s.hi - s.lo + t.hi - t.lo) / 2), 0) AS hull FROM side s LEFT JOIN side t ON t.image_id = s.image_id AND t.y = s.y + 1 GROUP BY ALL)
 SELECT image_id, round(CAST(area AS DOUBLE) / nf, 6) AS ridge_main_area, round(big / (round(low, 9) + 1e-6), 2) AS ridge_main_elong, round(extent, 6) AS ridge_main_extent,
+  round(area / (greatest(area, hull) + 1e-6), 6) AS ridge_main_solidity,
   round(4 * sqrt(big) / 8, 6) AS ridge_main_len, round(mean_v - coalesce(rv, 0), 6) AS ridge_main_contrast,
   round(sqrt(pow(cx - 4, 2) + pow(cy - 4, 2)) / (sqrt(128) / 2), 6) AS ridge_center_dist, round(CAST(np AS DOUBLE) / nf, 6) AS ridge_density,
   CAST(nc AS DOUBLE) AS ridge_n_components, round(rm, 6) + 0.0 AS ridge_resp_mean, round(rs, 6) AS ridge_resp_std, round(r95, 6) AS ridge_resp_p95, round(r99, 6) AS ridge_resp_p99
-FROM w JOIN k USING (image_id) LEFT JOIN ring USING (image_id)""",
+FROM w JOIN k USING (image_id) JOIN hull USING (image_id) LEFT JOIN ring USING (image_id)""",
 )
 def _(read):
     out = S.main_component_features(cells(read), "v", "fov", skeleton=False)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellgrove.functions.kernels import ellipse, square
 from cellgrove.operators import components as P
 from cellgrove.operators.cells import SIZE, join_stats
+from cellgrove.operators.hulls import hull_areas
 from cellgrove.operators.masked import active_percentiles, inside, response_features
 from cellgrove.operators.morphology import closing, dilate, opening
 from cellgrove.operators.quantiles import group_stats
@@ -234,8 +235,8 @@ def shape_features(df: DataFrame, mask: str, fov: str, skeleton: bool = True) ->
 def main_component_features(df: DataFrame, response: str, fov: str, skeleton: bool = True, density: float = 0.16) -> DataFrame:
     """Features of the largest component of the response's top share.
 
-    Area share, elongation, extent, length, contrast to its surrounding ring,
-    distance from the centre, and with ``skeleton`` the curvature, next to the
+    Area share, elongation, extent, solidity, length, contrast to its surrounding
+    ring, distance from the centre, and with ``skeleton`` the curvature, next to the
     response summary of the whole image. Images without a component get zeros.
     """
     df = shared(df)
@@ -256,6 +257,7 @@ def main_component_features(df: DataFrame, response: str, fov: str, skeleton: bo
     )
     one = around.withColumn("_one", F.when(F.col("_main"), F.col("_mc")))
     stats = P.component_stats(one, "_one", (response,), ("_sk",) if skeleton else ())
+    hulls = hull_areas(one, "_one", "_hull").drop("_one")
     small = F.col("area") <= 2
     big = F.when(small, 1.0).otherwise(F.col("eig_max"))
     low = F.when(small, 1.0).otherwise(F.abs("eig_min"))
@@ -266,6 +268,7 @@ def main_component_features(df: DataFrame, response: str, fov: str, skeleton: bo
         "ridge_main_area": F.col("area") / F.col("_fov"),
         "ridge_main_elong": big / (low + 1e-6),
         "ridge_main_extent": F.col("extent"),
+        "ridge_main_solidity": F.col("area") / (F.greatest(F.col("area").cast("double"), F.col("_hull")) + 1e-6),
         "ridge_main_len": length / F.greatest("h", "w"),
         "ridge_main_contrast": F.col(f"mean_{response}") - F.col("_ringmean"),
         "ridge_center_dist": away / diagonal,
@@ -275,7 +278,7 @@ def main_component_features(df: DataFrame, response: str, fov: str, skeleton: bo
     summary = response_features(df, response, fov, "ridge_resp").select(
         "image_id", "ridge_resp_mean", "ridge_resp_std", "ridge_resp_p95", "ridge_resp_p99"
     )
-    joined = counts.join(stats, ID, "left").join(ringed, ID).join(summary, ID)
+    joined = counts.join(stats, ID, "left").join(hulls, ID, "left").join(ringed, ID).join(summary, ID)
     return joined.select(
         "image_id",
         *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in cols.items()],
