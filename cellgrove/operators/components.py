@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from cellgrove.operators.cells import KEY, position
 from cellgrove.operators.graph import connected_components
 from cellgrove.operators.neighbourhood import neighbourhood
+from cellgrove.operators.quantiles import MAX_CELLS
 from cellgrove.session import cut
 
 #: Side of the square a raster is divided into for local work.
@@ -51,8 +52,8 @@ def label(df: DataFrame, mask: str, out: str = "comp", conn: int = 8, tile: int
     Each tile, a group of bounded size, is labelled on its own in one Arrow
     batch. Only cells facing a tile border can link two tiles: their links form
     a graph of tile components, far smaller than the raster, which is closed by
-    iterative star contraction. Whether a raster has borders inside is told by the
-    dimensions in its own rows; those of one tile add nothing to the graph.
+    iterative star contraction. Rasters of one tile add nothing to the graph; where
+    the table's bound says that all are such, nothing is stored or linked.
     """
 
     @F.pandas_udf("array<long>")
@@ -70,12 +71,12 @@ def label(df: DataFrame, mask: str, out: str = "comp", conn: int = 8, tile: int
     local = tiled.select("image_id", "h", "w", "ty", "tx", zipped.alias("z")).select(
         "image_id", "h", "w", "ty", "tx", F.col("z.pos").alias("pos"), F.col("z.low").alias("low")
     )
-    local = cut(local)
-    seams = _seams(local, conn, tile)
-    if seams.isEmpty():
+    bound = df.schema["h"].metadata.get(MAX_CELLS)
+    if bound is not None and bound <= tile:  # no raster reaches over a tile
         named = local.select("image_id", "pos", F.col("low").alias(out))
     else:
-        roots = connected_components(seams, "a", "b", ["image_id"]).withColumnRenamed("node", "low")
+        local = cut(local)
+        roots = connected_components(_seams(local, conn, tile), "a", "b", ["image_id"]).withColumnRenamed("node", "low")
         named = local.join(roots, ["image_id", "low"], "left").select(
             "image_id", "pos", F.coalesce("root", "low").alias(out)
         )
