@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,24 @@ def keyed(df: DataFrame, key: str, *values: str) -> DataFrame:
     return df.select(F.col(key).alias("_key"), *[F.col(v).alias(f"_{v}") for v in values])
 
 
+def map_texts(docs: DataFrame, key: str, text: str, make: Callable[[], Callable[[list], list]], columns: str) -> DataFrame:
+    """``key`` and what a function makes of the texts, as ``columns`` (a schema).
+
+    ``make`` gives, once a task, a function from a list of texts (null: None) to one array for each
+    column. The key column passes as Arrow holds it, so whole numbers beside nulls stay exact.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for b in batches:
+            made = [pa.array(a) for a in work(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names)
+
+    names = [key, *[c.split()[0] for c in columns.split(",")]]
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, {columns}")
+
+
 def packed(df: DataFrame) -> Column:
     """The whole row as one column, to be unpacked with ``select("_row.*")``."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")

@@ -191,7 +191,7 @@ def near_duplicates(
     never its pairs.
     """
     ok = (
-        F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 1)
+        F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)
         & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         & F.exists(vector, lambda x: x != 0)
     )

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import packed
+from cellgrove.llm.common import map_texts, packed
 from cellgrove.operators.graph import connected_components
 from cellgrove.session import cut
 
@@ -56,13 +56,8 @@ def simhash(text: str | None, size: int = 3) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
     """``key`` and ``fp`` (the 64 bits as a long) per row. Null texts count as empty ones: zero."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([simhash(t, size) for t in b["_text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({key: b["_key"], "fp": fp})
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, fp long")
+    work = lambda texts: [np.array([simhash(t, size) for t in texts], dtype=np.uint64).view(np.int64)]
+    return map_texts(docs, key, text, lambda: work, "fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:

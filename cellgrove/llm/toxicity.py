@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import release, store
+from cellgrove.llm.common import map_texts, release, store
 
 #: Bound of the labelled rows that are fitted on, of the lexicon, and of word beginnings in letters.
 FIT_ROWS, LEXICON, STEM = 20_000, 5_000, 4
@@ -234,13 +234,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = grammar()
-        for b in batches:
-            yield pd.DataFrame({key: b["_key"], "score": np.array([shared.value.score(t, machine) for t in b["_text"]], float)})
+    def make():
+        machine, model = grammar(), shared.value
+        return lambda texts: [np.array([model.score(t, machine) for t in texts], float)]
 
-    kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, score double")
+    scored = map_texts(docs, key, text, make, "score double")
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -19,9 +19,9 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from cellgrove.llm.common import map_texts
 
 #: Stands for a space; begins each word.
 SPACE = "▁"
@@ -158,13 +158,15 @@ def token_counts(docs: DataFrame, model: Unigram, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = hash(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         counter = _COUNTERS.get(name)
         if counter is None:
             counter = _COUNTERS[name] = Counter(shared.value)
-        for b in batches:
-            found = [counter.count(t) for t in b["_text"]]
-            yield pd.DataFrame({key: b["_key"], "n_tokens": np.array([f[0] for f in found], np.int64), "score": np.array([f[1] for f in found], float)})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, n_tokens long, score double")
+        def work(texts):
+            found = [counter.count(t) for t in texts]
+            return [np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], float)]
+
+        return work
+
+    return map_texts(docs, key, text, make, "n_tokens long, score double")
