@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellgrove.catalog import query
 from cellgrove.catalog.fixtures import U8, pick, rounded, u8_cells
 from cellgrove.catalog.scalars import FUSED
+from cellgrove.operators.bridging import connect_ends
 from cellgrove.plans import presets as P
 from cellgrove.plans.recipe import run_recipe, run_variants, step
 
@@ -141,9 +142,37 @@ def _(read):
     return pick(run_recipe(df, P.fine_branch(P.SMALL), ["fine_response", "fine_mask", "fine_lines"]), "fine_response", "fine_mask", "fine_lines")
 
 
-@query("P9_seed_mask")
+for _query, _name in (("P9_seed_mask", "path"), ("P9_seed_mask_plain", "plain"), ("P9_seed_mask_balanced", "balanced")):
+
+    @query(_query)
+    def _(read, name=_name):
+        return pick(run_recipe(maps(read), P.seed_mask(name, P.SMALL), ["seed_mask"]), "seed_mask")
+
+
+@query("P7_connect_ends")
+def _(read):
+    df = maps(read).withColumn("m", F.col("fov") & (F.col("response") > 0.7))
+    return pick(connect_ends(df, "m", "response", "support", "fov", "connected", max_gap=5), "connected")
+
+
+def mosaic(df, side=8):
+    """Rasters of side x side small ones each, from neighbouring image numbers; an incomplete last row is left dark."""
+    number = F.col("image_id") % (side * side)
+    y, x = F.floor(number / side) * 8 + F.col("y"), number % side * 8 + F.col("x")
+    return df.select(
+        F.floor(F.col("image_id") / (side * side)).alias("image_id"), F.lit(8 * side).alias("h"), F.lit(8 * side).alias("w"),
+        y.cast("int").alias("y"), x.cast("int").alias("x"), *[c for c in df.columns if c not in ("image_id", "h", "w", "y", "x")],
+    )
+
+
+@query("P1_build_channels_full_sizes")
+def _(read):
+    return pick(P.build_channels(mosaic(photo(read)), "maps", P.FULL), "c0", "c1", "c2")
+
+
+@query("P7_mask_variants_full_sizes")
 def _(read):
-    return pick(run_recipe(maps(read), P.seed_mask("path", P.SMALL), ["seed_mask"]), "seed_mask")
+    return P.mask_variants(mosaic(maps(read)), P.FULL).select("image_id", "y", "x", "variant", "mask")
 
 
 @query(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cellgrove.catalog import query
 from cellgrove.catalog.fixtures import LABELS, MASKED, masked_cells, rounded
+from cellgrove.operators import bridging as B
 from cellgrove.operators import components as P
 from cellgrove.operators import skeleton as K
 from cellgrove.operators import spatial as H
@@ -57,6 +60,32 @@ def _(read):
     return rounded(H.pair_candidates(endpoints(read), 2.0, 6, 0.2001, 0.2001, n=3))
 
 
+def _rounds(n):
+    """Greedy pairs in SQL: n rounds that take what is first at both its points."""
+    out, touches = [], "({b}.y0 = {a}.y0 AND {b}.x0 = {a}.x0 OR {b}.y0 = {a}.y1 AND {b}.x0 = {a}.x1 OR {b}.y1 = {a}.y0 AND {b}.x1 = {a}.x0 OR {b}.y1 = {a}.y1 AND {b}.x1 = {a}.x1)"
+    meet = f"b.image_id = a.image_id AND {touches.format(a='a', b='b')}"
+    for i in range(n):
+        out.append(f"t{i} AS (SELECT * FROM l{i} a WHERE NOT EXISTS (SELECT 1 FROM l{i} b WHERE {meet} AND (b.score, b.y0, b.x0, b.y1, b.x1) < (a.score, a.y0, a.x0, a.y1, a.x1)))")
+        out.append(f"l{i + 1} AS (SELECT * FROM l{i} a WHERE NOT EXISTS (SELECT 1 FROM t{i} b WHERE {meet}))")
+    return ", ".join(out), " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(n))
+
+
+_STEPS, _TAKEN = _rounds(8)
+
+
+@query(
+    "H2_greedy_pairs",
+    f"""{ENDS}, pr AS (SELECT a.image_id, a.y AS y0, a.x AS x0, b.y AS y1, b.x AS x1, sqrt(pow(b.y - a.y, 2) + pow(b.x - a.x, 2)) AS gap, a.dy AS ady, a.dx AS adx, b.dy AS bdy, b.dx AS bdx
+  FROM dirs a JOIN dirs b ON a.image_id = b.image_id AND (a.y < b.y OR (a.y = b.y AND a.x < b.x)) AND a.comp <> b.comp WHERE a.dy IS NOT NULL AND b.dy IS NOT NULL),
+al AS (SELECT *, ady * (y1 - y0) / gap + adx * (x1 - x0) / gap AS f1, -(bdy * (y1 - y0) / gap + bdx * (x1 - x0) / gap) AS f2 FROM pr WHERE gap >= 2 AND gap <= 6),
+l0 AS (SELECT image_id, y0, x0, y1, x1, round(gap - 8.0 * least(f1, f2), 6) + 0.0 AS score FROM al WHERE f1 >= 0.2001 AND f2 >= 0.2001),
+{_STEPS} {_TAKEN}""",
+)
+def _(read):
+    pairs = H.pair_candidates(endpoints(read), 2.0, 6, 0.2001, 0.2001).select("image_id", "y0", "x0", "y1", "x1", (F.round("score", 6) + 0.0).alias("score"))
+    return B.greedy_pairs(pairs)
+
+
 @query(
     "H3_aligned_fragments",
     f"""{ENDS}, nr AS (SELECT e.image_id, e.y, e.x, e.dy, e.dx, p.comp AS fc, p.y AS py, p.x AS px, sqrt(pow(p.y - e.y, 2) + pow(p.x - e.x, 2)) AS d,

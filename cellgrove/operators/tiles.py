@@ -205,7 +205,7 @@ def sliding_median(ranks: np.ndarray, steps: np.ndarray, k: int, shape: tuple[in
     def find(place: np.ndarray) -> np.ndarray:
         """Rank of the value at a 0-based place of each row's window."""
         sums = coarse.cumsum(1)
-        c = (sums <= place[:, None]).sum(1)
+        c = np.minimum((sums <= place[:, None]).sum(1), fine_n)  # the last bin stays empty; an empty window ends there
         left = place - np.where(c > 0, np.take_along_axis(sums, np.maximum(c - 1, 0)[:, None], 1)[:, 0], 0)
         inner = np.take_along_axis(fine, c[:, None] * fine_n + np.arange(fine_n), 1).cumsum(1)
         return c * fine_n + (inner <= left[:, None]).sum(1)

@@ -60,6 +60,18 @@ class Sizes:
     ramp: tuple = (6.0, 42.0)
     bins: int = 256
     shape_area: int = 28
+    near_dark: float = 2.0
+    least_area: int = 12
+    #: Divisor of the areas of the mask variants, and their least value where it is not 1.
+    area_share: int = 1
+    tree_radius: int = 9
+    least_values: int = 100
+    local_window: int = 41
+    #: Noise cleaning of the variants and of the seed masks: large area, reach, (area, length, ratio).
+    noise: tuple = (35, 8, (12, 5, 1.9))
+    seed_noise: tuple = (35, 8, (12, 5, 1.9))
+    #: Area rule of the seed masks; None leaves each its own.
+    seed_area: int | None = None
 
 
 FULL = Sizes()
@@ -70,6 +82,8 @@ SMALL = Sizes(
     jerman=(0.7, 1.0), jerman_wide=(0.7, 1.0), fine=(0.5, 0.8), hessian_radius=2, background=1.5, background_box=4,
     dark=(0.6, 1.0), erode=0, min_area=2, border=1, edge_margin=1, fine_area=2, fine_length=1, outline=0.5,
     rim_search=3, rim_contact=1, rim_area=2, rim_grow=1, ramp=(0.5, 2.0), bins=32, shape_area=6,
+    near_dark=0.8, least_area=3, area_share=5, tree_radius=2, least_values=20, local_window=5,
+    noise=(7, 2, (2, 3, 1.9)), seed_noise=(6, 2, (4, 3, 1.9)), seed_area=3,
 )
 
 
@@ -241,7 +255,7 @@ def boost_dark(z: Sizes = FULL, source: str = "green", out: str = "boosted") ->
         step("gaussian", "bbg", value="bf", sigma=z.background, border="reflect101"),
         step("flatten", "bflat", value="bf", background="bbg", mask="fov", mode="divide_median"),
     ]
-    groups = {"near": (2.0 if z is FULL else 0.8,), "many": z.dark}
+    groups = {"near": (z.near_dark,), "many": z.dark}
     steps += [
         step("dark_scales", "dk", value="bflat", mask="fov", groups=groups, smooth=0.35, border="reflect101"),
         _u8("dk_many", "multi8"),
@@ -385,7 +399,7 @@ def response_variants(df: DataFrame, z: Sizes = FULL) -> DataFrame:
         ],
     }
     finish = step(
-        "connected_levels", "mask", value="cond", mask="fov", high=0.97, low=0.87, area=12 if z is FULL else 3,
+        "connected_levels", "mask", value="cond", mask="fov", high=0.97, low=0.87, area=z.least_area,
         support="support", support_floor=0.12,
     )
     return run_variants(df, {n: [*s, finish] for n, s in conditioned.items()}, ["fov", "cond", "mask"])
@@ -476,13 +490,12 @@ def mask_variants(df: DataFrame, z: Sizes = FULL) -> DataFrame:
     levels = lambda hi, lo, area, floor: step(
         "connected_levels", "mask", value="response", mask="fov", high=hi, low=lo, area=area, support="support", support_floor=floor
     )
-    small = z is not FULL
-    a = lambda n: max(2, n // 5) if small else n
-    noise = {"large": a(35), "near": 2 if small else 8, "like": (a(12), 3 if small else 5, 1.9)}
+    a = lambda n: n if z.area_share == 1 else max(2, n // z.area_share)
+    noise = dict(zip(("large", "near", "like"), z.noise))
     thin_levels = lambda rp, sp, r: [
         levels(0.97, 0.87, a(12), 0.12),
         step("sql", "seed", text="mask"),
-        step("near_tree", "nt", seed="seed", response="support", support="support", coherence="coherence", fov="fov", response_p=rp, support_p=sp, radius=2 if small else r),
+        step("near_tree", "nt", seed="seed", response="support", support="support", coherence="coherence", fov="fov", response_p=rp, support_p=sp, radius=min(r, z.tree_radius)),
         step("sql", "mask", text="seed or nt"),
     ]
     recipes = {
@@ -499,17 +512,17 @@ def mask_variants(df: DataFrame, z: Sizes = FULL) -> DataFrame:
             step("drop_border", "mask", mask="t2", band=z.border),
         ],
         "cleanup": [
-            step("adaptive_hysteresis", "t", value="response", mask="fov", bins=z.bins, least=20 if small else 100),
+            step("adaptive_hysteresis", "t", value="response", mask="fov", bins=z.bins, least=z.least_values),
             step("min_area", "t2", mask="t", n=a(8)),
             step("closing", "t3", value="t2", element=K.ellipse(5)),
             step("drop_border", "t4", mask="t3", band=z.border),
             step("sql", "mask", text="t4 and fov"),
         ],
         "elongated": [
-            step("adaptive_hysteresis", "t", value="response", mask="fov", bins=z.bins, least=20 if small else 100),
+            step("adaptive_hysteresis", "t", value="response", mask="fov", bins=z.bins, least=z.least_values),
             step("elongated", "mask", mask="t", aspect=2.0, area=a(8)),
         ],
-        "elbow": [step("elbow_mask", "mask", value="response", mask="fov", least=20 if small else 100)],
+        "elbow": [step("elbow_mask", "mask", value="response", mask="fov", least=z.least_values)],
         "top_k_close": [
             step("threshold", "t", value="response", mask="fov", method="percentile", density=0.16),
             step("top_k", "t2", mask="t", k=3),
@@ -528,7 +541,7 @@ def mask_variants(df: DataFrame, z: Sizes = FULL) -> DataFrame:
         ],
         "near_tree": thin_levels(0.89, 0.45, 9),
         "near_tree_strict": thin_levels(0.92, 0.52, 8),
-        "adaptive": [step("local_adaptive", "t", value="response", support="support", mask="fov", window=5 if small else 41), step("shape_clean", "mask", mask="t", area=a(14))],
+        "adaptive": [step("local_adaptive", "t", value="response", support="support", mask="fov", window=z.local_window), step("shape_clean", "mask", mask="t", area=a(14))],
         "response_support": [
             step("sql", "rs0", text="response * (0.40D + 0.60D * support)"),
             step("normalise", "rs", value="rs0", mask="fov"),
@@ -562,15 +575,15 @@ SEED_MASKS = {
 def seed_mask(name: str = "path", z: Sizes = FULL) -> list[Step]:
     """P9. Gated hysteresis followed by noise cleaning."""
     hi, lo, area, floor, p = SEED_MASKS[name]
-    small = z is not FULL
+    large, near, like = z.seed_noise
     return [
         step(
-            "connected_levels", "sm", value="response", mask="fov", high=hi, low=lo, area=3 if small else area,
+            "connected_levels", "sm", value="response", mask="fov", high=hi, low=lo, area=z.seed_area or area,
             support="support", support_floor=floor, support_p=p,
         ),
         step(
             "clean_noise", "seed_mask", mask="sm", response="response", support="support", coherence="coherence", fov="fov",
-            large=6 if small else 35, near=2 if small else 8, like=(4, 3, 1.9) if small else (12, 5, 1.9),
+            large=large, near=near, like=like,
         ),
     ]
 

@@ -55,7 +55,7 @@ def raster(seed, shape=(11, 14), gaps=0.0, levels=None):
 
 
 @pytest.mark.parametrize("border", [*PAD, "constant"])
-@pytest.mark.parametrize("tile,gaps", [(100, 0.0), (4, 0.0), (5, 0.3)])
+@pytest.mark.parametrize("tile,gaps", [(100, 0.0), (4, 0.0), (5, 0.3), (6, 0.97), (100, 1.0)])
 def test_correlate_and_median(border, tile, gaps):
     v, known = raster(1, gaps=gaps)
     if border == "reflect101":
