@@ -522,7 +522,7 @@ def mask_variants(df: DataFrame, z: Sizes = FULL) -> DataFrame:
             step("adaptive_hysteresis", "t", value="response", mask="fov", bins=z.bins, least=z.least_values),
             step("elongated", "mask", mask="t", aspect=2.0, area=a(8)),
         ],
-        "elbow": [step("elbow_mask", "mask", value="response", mask="fov", least=z.least_values)],
+        "elbow": [*inner, step("elbow_mask", "mask", value="response", mask="inner", least=z.least_values)],
         "top_k_close": [
             step("threshold", "t", value="response", mask="fov", method="percentile", density=0.16),
             step("top_k", "t2", mask="t", k=3),
