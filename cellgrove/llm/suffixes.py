@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -352,45 +353,45 @@ def _pairs(right: bytes, left: bytes) -> list[tuple[bytes, bytes, int, int, bool
     return out
 
 
-def repeated(docs: DataFrame, key: str, mark: str, text: str) -> DataFrame:
-    """``key``, ``mark`` and ``spans`` (start and end in bytes, sorted, may overlap) of texts with repeated strings.
+def repeated(docs: DataFrame, name: str, text: str) -> DataFrame:
+    """``name`` and ``spans`` (start and end in bytes, sorted, may overlap) of texts with repeated strings.
 
-    ``key`` and the whole number ``mark`` together tell texts apart.
+    ``name`` is a binary that tells texts apart: rows with one name are copies of
+    one text, which is worked on once and counts as often as it occurs.
     """
-    slim = docs.select(F.col(key).alias("_k"), F.col(mark).alias("_m"), F.col(text).alias("_t"))
-    kind = docs.schema[key].dataType.simpleString()
+    slim = docs.select(F.col(name).alias("_k"), F.col(text).alias("_t")).filter(F.octet_length("_t") >= LENGTH)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for n, at, after, before in anchors_of([t.encode() for t in b["_t"]]):
-                yield pd.DataFrame({"_k": b["_k"].iloc[n].array, "_m": b["_m"].iloc[n].array, "at": at, "after": after, "before": before})
+                yield pd.DataFrame({"_k": b["_k"].iloc[n].array, "at": at, "after": after, "before": before})
 
-    found = store(slim.mapInPandas(find, f"_k {kind}, _m int, at int, after long, before long"))
+    found = store(slim.mapInPandas(find, "_k binary, at int, after long, before long"))
     # an anchor matters if the context on one of its sides occurs twice
-    sides = found.select("_k", "_m", "at", F.explode(F.array("after", "before")).alias("h")).filter("h <> 0")
+    sides = found.select("_k", "at", F.explode(F.array("after", "before")).alias("h")).filter("h <> 0")
     twice = sides.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    kept = sides.join(twice, "h", "left_semi").groupBy("_k", "_m").agg(F.sort_array(F.collect_set("at")).alias("ats"))
-    kept = kept.select(F.col("_k").alias("_k2"), F.col("_m").alias("_m2"), "ats")
+    kept = sides.join(twice, "h", "left_semi").groupBy("_k").agg(F.sort_array(F.collect_set("at")).alias("ats"))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_128_digest
         for b in batches:
             rows = []
-            for k, m, t, ats in zip(b["_k"], b["_m"], b["_t"], b["ats"]):
+            for k, copies, t, ats in zip(b["_k"], b["copies"], b["_t"], b["ats"]):
                 raw = t.encode()
                 for a in ats.tolist():
                     right, left = raw[a : a + LENGTH], raw[max(a + GRAM - LENGTH, 0) : a + GRAM][::-1]
                     rid, lid = digest(right), digest(left)
-                    rows.append((k, m, a, right, left, rid, lid, digest(rid + lid)))
+                    rows.append((k, copies, a, right, left, rid, lid, digest(rid + lid)))
                 if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=["_k", "_m", "at", "right", "left", "rid", "lid", "pid"])
+                    yield pd.DataFrame(rows, columns=["_k", "copies", "at", "right", "left", "rid", "lid", "pid"])
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["_k", "_m", "at", "right", "left", "rid", "lid", "pid"])
+                yield pd.DataFrame(rows, columns=["_k", "copies", "at", "right", "left", "rid", "lid", "pid"])
 
-    same = slim["_k"].eqNullSafe(kept["_k2"]) & (slim["_m"] == kept["_m2"])
-    around = slim.join(kept, same).select("_k", "_m", "_t", "ats").mapInPandas(
-        contexts, f"_k {kind}, _m int, at int, right binary, left binary, rid binary, lid binary, pid binary"
+    # copies are collapsed before the shuffle, which the join then shares
+    once = slim.groupBy("_k").agg(F.first("_t").alias("_t"), F.count("*").alias("copies"))
+    around = once.join(kept, "_k").select("_k", "copies", "_t", "ats").mapInPandas(
+        contexts, "_k binary, copies long, at int, right binary, left binary, rid binary, lid binary, pid binary"
     )
     around = store(around)
 
@@ -399,8 +400,8 @@ def repeated(docs: DataFrame, key: str, mark: str, text: str) -> DataFrame:
         return store(around.groupBy(F.col(i).alias("id")).agg(F.first(x).alias("s"), only))
 
     after, before = strings("rid", "right", "lid"), strings("lid", "left", "rid")
-    places = store(around.select("_k", "_m", "at", "pid"))
-    both = store(around.groupBy("pid").agg(F.first("rid").alias("rid"), F.first("lid").alias("lid"), F.count("*").alias("n")))
+    places = store(around.select("_k", "at", "pid"))
+    both = store(around.groupBy("pid").agg(F.first("rid").alias("rid"), F.first("lid").alias("lid"), F.sum("copies").alias("n")))
     release(found, around)
     right = sorted_paths(after).select(F.col("id").alias("rid"), F.col("path").alias("right"))
     left = sorted_paths(before).select(F.col("id").alias("lid"), F.col("path").alias("left"))
@@ -423,9 +424,9 @@ def repeated(docs: DataFrame, key: str, mark: str, text: str) -> DataFrame:
     # all strings around an anchor overlap in it, so what they cover is one span
     ranges = hits.groupBy("pid").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     spans = places.join(ranges, "pid").select(
-        "_k", "_m", F.struct((F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + LENGTH).alias("end")).alias("s")
+        "_k", F.struct((F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + LENGTH).alias("end")).alias("s")
     )
-    return spans.groupBy(F.col("_k").alias(key), F.col("_m").alias(mark)).agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    return spans.groupBy(F.col("_k").alias(name)).agg(F.sort_array(F.collect_list("s")).alias("spans"))
 
 
 def _join_up(spans) -> list[tuple[int, int]]:
@@ -444,27 +445,29 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere
     else, in the same text or another. Null texts count as empty ones; texts
-    under ``LENGTH`` bytes stay whole. Rows need not have different keys: those
-    with one key, or none, are told apart by a hash of their text.
+    under ``LENGTH`` bytes stay whole. Keys may be null or equal: what goes from a
+    row depends on its text alone, which is known by 128 bits of its SHA-256.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    rows = rows.withColumn("_mark", F.hash("_t"))
-    spans = repeated(rows, "_key", "_mark", "_t").select(F.col("_key").alias("_k"), F.col("_mark").alias("_m"), "spans")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("_key"), whole.alias("_t"), F.substring(F.unhex(F.sha2(whole, 256)), 1, 16).alias("_d"))
+    spans = repeated(rows, "_d", "_t")
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for k, t, spans in zip(b["_key"], b["_t"], b["spans"]):
+            gone, left = [], []
+            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw, runs, kept, at = t.encode(), _join_up(spans), [], 0
                 for a, z in runs:
                     kept.append(raw[at:a])
                     at = z
-                out.append((k, [{"start": a, "end": z} for a, z in runs], b"".join([*kept, raw[at:]])))
-            yield pd.DataFrame(out, columns=[key, "removed", "kept"])
+                gone.append([{"start": a, "end": z} for a, z in runs])
+                left.append(b"".join([*kept, raw[at:]]))
+            removed = pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([b.column(0), removed, pa.array(left, pa.binary())], [key, "removed", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
-    joined = rows.join(spans, rows["_key"].eqNullSafe(spans["_k"]) & (rows["_mark"] == spans["_m"]), "left").select("_key", "_t", "spans")
-    return joined.mapInPandas(take, f"`{key}` {kind}, removed array<struct<start:long,end:long>>, kept binary")
+    joined = rows.join(spans, "_d", "left").select("_key", "_t", "spans")
+    return joined.mapInArrow(take, f"`{key}` {kind}, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

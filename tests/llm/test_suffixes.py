@@ -73,3 +73,15 @@ def test_odd_rows(spark):
     n = len(long)
     assert got == sorted([("1", n, n), ("1", 5, 0), ("None", n, n), ("None", 0, 0), ("2", 0, 0)])
     assert S.report(df.limit(0)).count() == 0
+
+
+def test_keys_null_equal_and_beyond_doubles(spark):
+    """Rows are known by their text alone: no key leaks into what goes, and none changes on its way."""
+    rng = random.Random(9)
+    prose = lambda k: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(k))
+    shared, big = prose(80), 2**53 + 1
+    rows = [(big, prose(30) + shared), (None, shared + prose(30)), (None, prose(70)), (None, prose(70)), (7, prose(70)), (7, prose(70)), (big, shared)]
+    rows += [(None, rows[2][1][:260] + prose(40))] + [(None, "hot copy " * 40)] * 50
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans) for r in S.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    want = brute([t for _, t in rows])
+    assert got == sorted((str(k), *w[:3]) for (k, _), w in zip(rows, want))
