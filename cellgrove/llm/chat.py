@@ -5,10 +5,13 @@ window already had is written ``### * role: text</turn>``. Backslash, ``#`` and
 inside texts (also ``:`` and ``*`` inside roles) get a backslash before them, so no
 text can hold a control string, and taking the backslashes off gives it back.
 
-Windows come from prefix sums alone. The token axis of a conversation is cut into
-blocks of ``budget - history`` tokens. Turns wholly inside a block share a window; a
-turn over a border has a window of its own. So a window has at most that many new
-tokens unless it is one longer turn, which is kept whole.
+Windows come from prefix sums alone. What the budget leaves beside the system turn and
+the history is the room for new turns; the token axis of a conversation is cut into
+blocks of that many tokens. Turns wholly inside a block share a window. A turn over a
+border joins the window before it if the room holds both, else it has a window of its
+own. So a window, system turn and history counted, keeps to the budget. One turn that is
+longer than the room is kept whole and gets as much history as the budget leaves it;
+its window is over the budget only if that turn and the system turn are so by themselves.
 """
 
 from __future__ import annotations
@@ -61,7 +64,6 @@ def windows(
     order = Window.partitionBy("_c").orderBy("_n", "_r", "_t")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     this = F.struct(F.col("_r").alias("role"), F.col("_t").alias("text"), F.col("_w").alias("words"))
-    step = max(1, budget - history)
     rows = rows.withColumns(
         {
             "_i": F.row_number().over(order),
@@ -70,9 +72,17 @@ def windows(
             **{f"_h{k}": F.lag(this, k).over(order) for k in range(1, HISTORY_TURNS + 1)},
         }
     )
-    start = F.col("_end") - F.col("_w")
-    block, last = F.floor(start / step), F.floor(F.greatest(F.col("_end") - 1, start) / step)
-    rows = rows.withColumn("_b", (2 * block + (block != last).cast("long")).cast("long"))
+    start, left = F.col("_end") - F.col("_w"), F.lit(budget) - F.coalesce(F.col("_first")["words"], F.lit(0))
+    room = F.greatest(left - history, F.lit(1))
+    block, last = F.floor(start / room), F.floor(F.greatest(F.col("_end") - 1, start) / room)
+    rows = rows.withColumns({"_start": start, "_room": room, "_block": block, "_over": block != last})
+    # what starts in a block starts there behind the turn over its first border
+    since = F.min("_start").over(Window.partitionBy("_c", "_block"))
+    alone = F.col("_over") & (F.col("_end") - since > F.col("_room"))
+    rows = rows.withColumn("_b", (2 * F.col("_block") + alone.cast("long")).cast("long"))
+    # history that is left beside a turn longer than the room
+    new = F.greatest("_w", F.lit(1))
+    history = F.when(new > left - history, F.least(F.lit(history), left - new)).otherwise(history)
 
     part = lambda t, repeated: F.struct(F.lit(repeated).alias("repeated"), t["role"].alias("role"), t["text"].alias("text"))
     used, before = F.lit(0), []

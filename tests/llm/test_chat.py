@@ -47,10 +47,28 @@ def test_budget_system_and_history(spark):
         assert turns[0].endswith("system: be kind") and turns[0].startswith("### * ") == (n > 0)
         repeated = [t for t in turns[1:] if t.startswith("### * ")]
         assert n == 0 or 1 <= len(repeated) <= chat.HISTORY_TURNS
-        assert sum(t.count("w ") for t in turns[1:]) <= 100
+        assert sum(len(t.split(": ")[1].split()) for t in turns) <= 100
         assert len(w.loss) == sum(t.startswith("### assistant") for t in turns)
 
 
+def test_budget_counts_a_long_system_turn(spark):
+    turns = [(1, 0, "system", "s " * 400)] + [(1, t, ("user", "assistant")[t % 2 == 0], "w " * 60) for t in range(1, 41)]
+    turns += [(2, 0, "system", "s " * 90), (2, 1, "user", "w " * 30), (2, 2, "assistant", "w " * 600), (2, 3, "user", "w " * 30)]
+    turns += [(3, 0, "system", "s " * 600), (3, 1, "user", ""), (3, 2, "assistant", "w")]
+    rng = random.Random(6)
+    turns += [(4, t, "user", "w " * rng.randrange(0, 200)) for t in range(300)]
+    out = chat.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    size = lambda t: len(t.split(": ", 1)[1].split())
+    filled = []
+    for w in out:
+        turns = w.formatted.split("</turn>\n")[:-1]
+        own = [t for t in turns if not t.startswith("### * ")]
+        total, system = sum(map(size, turns)), size(turns[0]) if "system: " in turns[0] else 0
+        assert total <= chat.BUDGET or (sum(size(t) > 0 for t in own) == 1 and total <= system + max(map(size, own))), (w.conv_id, w.window, total)
+        filled += [sum(map(size, own))] if w.conv_id == 4 else []
+    assert sum(filled) / len(filled) > 0.5 * (chat.BUDGET - chat.HISTORY)
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.report(empty).count() == 0
