@@ -14,6 +14,7 @@ published tokenizer. See the README.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,10 @@ from pyspark.sql import DataFrame
 
 from cellgrove.llm.common import map_texts
 
-#: Stands for a space; begins each word.
+#: Stands for a space.
 SPACE = "▁"
+#: A run of spaces and what follows it; entries made of spaces alone lie inside one.
+_WORD, _BORDER = re.compile(f"{SPACE}+[^{SPACE}]*"), re.compile(f"[^{SPACE}]{SPACE}")
 UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
 CACHED_WORDS, BLOCK_CHARS = 500_000, 1 << 20
@@ -63,6 +66,8 @@ class Counter:
         self.low = min(scores.values()) - UNKNOWN_PENALTY
         self.bytes = model.byte_fallback and all(f"<0x{b:02X}>" in scores for b in range(256))
         self.known: dict[str, tuple[int, float]] = {}
+        # entries with a mark behind a letter leave no place to cut at
+        self.cut = not any(re.search(f"[^{SPACE}]{SPACE}", e) for e in scores)
 
     def best(self, word: str) -> tuple[int, float]:
         """Number of pieces and score of one word.
@@ -118,8 +123,12 @@ class Counter:
     def count(self, text: str | None) -> tuple[int, float]:
         """Pieces and score of a whole text; an empty one has none."""
         total, gain = 0, 0.0
-        for block in _blocks(text or ""):
-            words = [SPACE + w for w in block.split(SPACE)]
+        marked = (text or "").replace(" ", SPACE)
+        marked = marked if marked[:1] in ("", SPACE) else SPACE + marked
+        if not self.cut:
+            return self.best(marked)
+        for block in _blocks(marked):
+            words = _WORD.findall(block)
             known = self.known
             if len(known) > CACHED_WORDS:
                 known.clear()
@@ -131,19 +140,14 @@ class Counter:
         return total, gain
 
 
-def _blocks(text: str) -> Iterator[str]:
-    """The marked text without its first mark, in blocks cut at marks; a word is never cut."""
-    if not text:
-        return
-    marked = text.replace(" ", SPACE)
-    at = 1 if marked.startswith(SPACE) else 0
-    while True:
-        cut = marked.find(SPACE, at + BLOCK_CHARS)
-        if cut < 0:
-            yield marked[at:]
-            return
+def _blocks(marked: str) -> Iterator[str]:
+    """The marked text in blocks that begin with a whole run of marks."""
+    at = 0
+    while at < len(marked):
+        found = _BORDER.search(marked, at + BLOCK_CHARS)
+        cut = found.start() + 1 if found else len(marked)
         yield marked[at:cut]
-        at = cut + 1
+        at = cut
 
 
 _COUNTERS: dict[int, Counter] = {}
@@ -152,7 +156,9 @@ _COUNTERS: dict[int, Counter] = {}
 def token_counts(docs: DataFrame, model: Unigram, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_tokens`` and ``score`` (of the best path) per row; null texts count as empty ones.
 
-    Scores are summed in double precision over words, which no entry crosses.
+    Scores are summed in double precision over runs of spaces with the word after
+    them, which no entry crosses; a vocabulary with an entry that does is matched over
+    whole texts.
     The vocabulary has a fixed size and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -49,12 +49,25 @@ def test_counts_like_the_library():
 
     model = viterbi.Unigram.read(tokenizer_file(UNIGRAM))
     lib = Tokenizer(models.Unigram(list(model.entries), unk_id=model.unknown, byte_fallback=True))
-    lib.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    lib.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
     counter = viterbi.Counter(model)
-    for text in texts():
+    rng = random.Random(2)
+    spaced = ["a  b    c        d", "  a", "a   ", " " * 40, "é  中   x"] + ["".join(rng.choice(["ab", "c", " ", "  ", "中"]) for _ in range(30)) for _ in range(200)]
+    for text in texts() + spaced:
         assert counter.count(text)[0] == len(lib.encode(text, add_special_tokens=False).ids), text
 
 
+def test_counts_where_entries_cross_words_and_blocks(monkeypatch):
+    monkeypatch.setattr(viterbi, "BLOCK_CHARS", 3)
+    entries = (("<unk>", -20.0), *((e, -5.0) for e in ("a", "b", "▁", "▁a")), ("▁▁", -6.0))
+    text = "a  b   a ab    a"
+    counter = viterbi.Counter(viterbi.Unigram(entries, byte_fallback=False))
+    # ▁a, ▁▁ b, ▁▁ ▁a, ▁a b, ▁▁ ▁ ▁a, as over the whole text at once
+    assert counter.count(text) == counter.best("▁" + text.replace(" ", "▁")) == (10, -5 - 11 - 11 - 10 - 16)
+    crossing = viterbi.Counter(viterbi.Unigram((*entries, ("a▁▁b", -1.0)), byte_fallback=False))
+    assert not crossing.cut and crossing.count("a  b") == (2, -6.0)
+
+
 def test_nulls_and_clashing_columns(spark):
     rows = [(1, None, None, None, None, "x"), (None, "", "en", "src1", 0, "y"), (2, "one two", "en", None, 7, "z"), (2, "one two", "en", None, 7, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string")
