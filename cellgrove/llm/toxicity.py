@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import map_texts, release, store
+from cellgrove.llm.common import map_texts, release, store, words
 
 #: Bound of the labelled rows that are fitted on, of the lexicon, and of word beginnings in letters.
 FIT_ROWS, LEXICON, STEM = 20_000, 5_000, 4
@@ -31,6 +31,8 @@ FIT_ROWS, LEXICON, STEM = 20_000, 5_000, 4
 #: it is common if this share of the toxic documents have it; and the chance left of any false one.
 SPREAD, PURITY, COMMON, CHANCE = 2, 0.8, 0.05, 0.05
 THRESHOLD = 0.7
+#: Words in a run by which documents are told to be alike while fitting.
+RUN = 5
 _BLOCK = 1 << 20
 
 # Function words of the four languages, by class.
@@ -159,10 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     marked = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).filter("_k is not null and _y is not null").filter(~held_out(F.col("_k")))
     marked = marked.orderBy(F.xxhash64("_k"), "_k", "_y").limit(FIT_ROWS)
-    # near copies share their beginning more often than not, so unlike documents are told by it
-    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(F.substring(F.col(text), 1, 40)).alias("_like")).filter("_t is not null")
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter("_t is not null")
     # the marked rows are FIT_ROWS pairs of numbers at most, which bounds what is broadcast
-    rows = store(texts.join(F.broadcast(marked), "_k").select("_y", "_like", "_t"))
+    rows = store(texts.join(F.broadcast(marked), "_k").select("_y", "_t", words(F.col("_t")).alias("_w")).select("_y", alike("_w").alias("_like"), "_t"))
     word = F.explode(F.array_distinct(F.split(F.lower("_t"), _LETTERS)))
     found = rows.select("_y", "_like", word.alias("w")).filter("w <> ''")
     toxic = rows.filter("_y = 1").select("_like").distinct().count()
@@ -185,18 +186,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
+def alike(ws: str) -> Column:
+    """Smallest hash of the runs of ``RUN`` words of a whole text: near copies mostly share it, unlike texts don't."""
+    last = F.greatest(F.size(ws) - (RUN - 1), F.lit(1))
+    return F.array_min(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(ws, i, RUN)))))
+
+
 def _choose(found: DataFrame, toxic: int, done: set) -> dict[str, float]:
     """Words of the fitted rows to keep, with weights: pure ones that are common or explain unexplained documents.
 
     By falling count, a word stays if ``COMMON`` of the toxic documents have it
     or if it explains ``SPREAD`` that no word before it does. Words that merely
     stand beside insults in copied documents do neither. What the kept words
-    explain is added to ``done``.
+    explain is added to ``done``. Like documents with both labels count for both.
     """
     share = found.select("_like", "_y").distinct().agg(F.avg("_y")).first()[0]
     if not share or share >= 1:
         return {}
-    per_doc = found.groupBy("w", "_like").agg(F.max("_y").alias("_y"))
+    per_doc = found.select("w", "_like", "_y").distinct()
     counts = store(per_doc.groupBy("w").agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n")))
     need = (math.log(counts.count()) + math.log(1 / CHANCE)) / -math.log(share)
     pure = counts.filter((F.col("bad") - 2 * (F.col("n") - F.col("bad")) >= need) & (F.col("bad") >= PURITY * F.col("n"))).orderBy(F.desc("bad"), "w").limit(LEXICON)
