@@ -2,7 +2,7 @@
 
 Everything is a Spark expression. Positions come from splitting a text by the
 pattern that also gives the matches: lengths of pieces and matches add up to code
-point offsets.
+point offsets. Long arrays are worked on in blocks, so that time grows with the text.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from cellgrove.llm.common import packed
 
 #: Characters before a span in which context words count, and the score (in tenths) that keeps one.
 REACH, KEEP = 40, 7
+#: Matches in a block, and letters in a piece of a text that is put together anew.
+BLOCK, PIECE = 256, 1024
 CONFIRMED, NEARBY, CONTRARY = 4, 3, -3
 BASE = ("email", "ip", "card", "phone")
 
@@ -91,12 +93,20 @@ _MOD97_SQL = (
     "lambda c: case when ascii(c) >= 65 then ascii(c) + 45 else ascii(c) - 48 end)), "
     "lambda a, d: case when d >= 100 then (a * 100 + d - 100) % 97 else (a * 10 + d) % 97 end) = 1"
 )
+# Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "(?:%s)" % "|".join(r"(?:%s)[0-9]{2}(?:\x20?[A-Z0-9]){%d}" % (c.replace(" ", "|"), n - 4) for n, c in IBAN_LENGTHS.items())
 KINDS = (
     Kind(
         "email",
         rf"(?:(?<!{_EMAIL})|\G){_EMAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         rf"{_EMAIL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-        None, "true", 8, "mail|contact", "example",
+        None, "true", 8, "e-?mail|mail|contact", "example",
     ),
     Kind(
         "ip",
@@ -111,10 +121,10 @@ KINDS = (
         "phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]",
         lambda v: F.length(_digits(v)).between(10, 15),
         "length(regexp_replace(v, '[^0-9]', '', 'g')) between 10 and 15",
-        6, "phone|call|tel|mobile", "order|serial",
+        6, "phone|telephone|call|tel|mobile", "order|serial",
     ),
     Kind(
-        "iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
+        "iban", rf"(?=[A-Z]{{2}}[0-9]{{2}}){_IBAN}", _IBAN,
         _mod97, _MOD97_SQL, 5, "iban|account|bank|konto", "serial|part",
     ),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", None, "true", 0, "ssn|social security", "order|serial"),
@@ -127,33 +137,65 @@ def _start(kind: Kind) -> int:
     return kind.score + (CONFIRMED if kind.confirm in (_luhn, _mod97) else _UNPROVEN.get(kind.name, 0))
 
 
-def _spans(text: Column, kind: Kind) -> Column:
-    """Array of (start, end, rank, kind, score) for what is kept of one kind."""
-    pieces = F.split(text, kind.pattern, -1)
-    parts = F.transform(
-        F.regexp_extract_all(text, F.lit(kind.pattern), 0),
-        lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("size"), m.alias("value")),
-    )
-    kept = "array<struct<start:int,end:int,value:string>>"
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kept).alias("found")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["size"]).alias("at"),
-            F.concat(
-                a["found"],
-                F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + p["size"]).alias("end"), p["value"].alias("value"))),
-            ).alias("found"),
-        ),
-        lambda a: a["found"],
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where ``use`` names it inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(array: Column) -> Column:
+    """The array in blocks of ``BLOCK``: what is built step by step stays short, so work grows with the array."""
+    return F.when(F.size(array) == 0, F.array()).otherwise(
+        _let(array, lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda i: F.slice(a, i * BLOCK + 1, F.lit(BLOCK))))
     )
+
+
+def _length(block: Column) -> Column:
+    return F.aggregate(block, F.lit(0), lambda a, p: a + F.length(p["gap"]) + F.length(p["value"]))
+
+
+def _offsets(lengths: Column) -> Column:
+    """Sums of all lengths before each."""
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+
+def _tail(blocks: Column, i: Column) -> Column:
+    """The last ``REACH`` letters before a block, which the block before has: each match has some letters."""
+    last = lambda b: F.right(F.array_join(F.transform(F.slice(b, F.greatest(F.size(b) - REACH + 1, F.lit(1)), F.lit(REACH)), lambda p: F.concat(p["gap"], p["value"])), ""), F.lit(REACH))
+    return F.when(i > 0, last(F.get(blocks, i - 1))).otherwise("")
+
+
+def _word(pattern: str) -> str:
+    """Context words with borders, in plain letters so that all matchers agree; a plural ``s`` may follow."""
+    return f"(?:^|[^a-z0-9])(?:{pattern})s?(?:$|[^a-z0-9])"
+
+
+def _spans(text: Column, kind: Kind) -> Column:
+    """Array of (start, rank, end, kind, score) for what is kept of one kind."""
+    found = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), 0).alias("value"))
+
+    def place(block: Column, before: Column, tail: Column) -> Column:
+        """Start, end, value and context of the matches of one block; ``tail`` is the text that ends before it."""
+
+        def step(a: Column, p: Column) -> Column:
+            context = F.right(F.concat(a["tail"], p["gap"]), F.lit(REACH))
+            start = a["at"] + F.length(p["gap"])
+            end = start + F.length(p["value"])
+            one = F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"), context.alias("context"))
+            return F.struct(end.alias("at"), F.right(F.concat(context, p["value"]), F.lit(REACH)).alias("tail"), F.concat(a["found"], F.array(one)).alias("found"))
+
+        none = F.array().cast("array<struct<start:int,end:int,value:string,context:string>>")
+        return F.aggregate(block, F.struct(before.alias("at"), tail.alias("tail"), none.alias("found")), step, lambda a: a["found"])
+
+    def blocks(parts: Column) -> Column:
+        return _let(_blocks(parts), lambda bs: _let(_offsets(F.transform(bs, _length)), lambda at: F.flatten(F.transform(bs, lambda b, i: place(b, F.get(at, i), _tail(bs, i))))))
+
+    placed = _let(F.filter(found, lambda p: p["value"].isNotNull()), blocks)
     if kind.confirm is not None:
         placed = F.filter(placed, lambda s: kind.confirm(s["value"]))
 
     def scored(s: Column) -> Column:
-        first = F.greatest(s["start"] - REACH, F.lit(0))
-        before = F.lower(F.substring(text, first + 1, s["start"] - first))
-        score = _start(kind) + F.when(before.rlike(kind.near), NEARBY).otherwise(0) + F.when(before.rlike(kind.against), CONTRARY).otherwise(0)
+        before = F.lower(s["context"])
+        score = _start(kind) + F.when(before.rlike(_word(kind.near)), NEARBY).otherwise(0) + F.when(before.rlike(_word(kind.against)), CONTRARY).otherwise(0)
         return F.struct(
             s["start"].alias("start"), F.lit([k.name for k in KINDS].index(kind.name)).alias("rank"), s["end"].alias("end"),
             F.lit(kind.name).alias("kind"), score.cast("int").alias("score"),
@@ -199,18 +241,33 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
     ``n_chars``, where the table has it, follows the new text; null texts stay null.
     """
     found = find(docs, text)
-    cleaned = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= a["at"],
-                F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
-            ).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text"))),
-    )
+    # letters a to z (from 0) of the text, from pieces, so that a late place costs no more than an early one
+    pieces = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+
+    def cut(ps: Column, a: Column, z: Column) -> Column:
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((z - 1) / PIECE).cast("int")
+        return F.when(z > a, F.substring(F.array_join(F.slice(ps, first + 1, last - first + 1), ""), a % PIECE + 1, z - a)).otherwise("")
+
+    def clean(ps: Column, block: Column, before: Column) -> Column:
+        """Texts and tags of one block of spans; ``before`` is the end of all spans ahead of it."""
+
+        def step(a: Column, s: Column) -> Column:
+            new = F.concat(cut(ps, a["at"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            out = F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(new))).otherwise(a["out"])
+            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+
+        start = F.struct(before.alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(block, start, step, lambda a: F.array_join(a["out"], ""))
+
+    def assemble(ps: Column, bs: Column) -> Column:
+        ends = F.transform(bs, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+        upto = F.aggregate(ends, F.array(F.lit(0)), lambda a, e: F.concat(a, F.array(F.greatest(F.element_at(a, -1), e))))
+        parts = lambda at: F.concat(
+            F.array_join(F.transform(bs, lambda b, i: clean(ps, b, F.get(at, i))), ""), cut(ps, F.element_at(at, -1), F.length("_text"))
+        )
+        return _let(upto, parts)
+
+    cleaned = _let(pieces, lambda ps: _let(_blocks(F.col("_spans")), lambda bs: assemble(ps, bs)))
     had = F.size("_spans") > 0
     out = found.select("_row", F.when(had, cleaned).alias("_new"))
     cols = []
@@ -231,8 +288,8 @@ def spans_sql(source: str = "documents") -> str:
     for n, k in enumerate(KINDS):
         rule = k.sql_confirm
         score = (
-            f"{_start(k)} + case when regexp_matches(c, '{k.near}') then {NEARBY} else 0 end"
-            f" + case when regexp_matches(c, '{k.against}') then {CONTRARY} else 0 end"
+            f"{_start(k)} + case when regexp_matches(c, '{_word(k.near)}') then {NEARBY} else 0 end"
+            f" + case when regexp_matches(c, '{_word(k.against)}') then {CONTRARY} else 0 end"
         )
         stay = "" if k.name in BASE else f" and {score} >= {KEEP}"
         steps.append(
