@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from cellgrove.llm.common import packed, words
 
 WINDOW = 5
+#: Words from which a lack of stop words tells something, and the languages whose stop words are listed.
+STOP_BASE, STOP_LANGS = 50, ("en", "fr", "de", "es")
 
 # Frequent function words of the four languages.
 STOP_WORDS = (
@@ -60,29 +62,33 @@ BASE_RULES = (
 RULES = (
     Rule("word_length", "word_chars", "n_words", 10, 15, 200),
     Rule("symbols", "n_symbols", "n_words", 100, None, 20),
-    Rule("stop_words", "n_stop_words", "n_words", 1000, 5, None),
+    Rule("stop_words", "n_stop_words", "n_stop_base", 1000, 5, None),
     Rule("repeated_lines", "n_dup_lines", "n_lines", 100, None, 40),
 )
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "n_stop_base")
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
     """``_row`` (the whole input row) with the measures of ``text``, in one stage.
 
     n_words, word_chars (code points in words), n_symbols (``#*$%&|<>``),
     n_lines (\\n-split lines with a word), n_dup_lines (of those, equal to an
     earlier one), n_repeat_words (words inside 5-word windows that occur at
-    least twice, first ones included), n_stop_words. A null text counts as an
-    empty one: all zero. Repeated rows are measured each for themselves.
+    least twice, first ones included), n_stop_words, n_stop_base (n_words where
+    stop words are to be expected: from ``STOP_BASE`` words on and, if ``lang`` is
+    given, in ``STOP_LANGS``; else zero). A null text counts as an empty one: all
+    zero. Repeated rows are measured each for themselves.
 
     Windows are compared as strings. Only texts with fewer distinct windows than
     windows pay for the sort that finds where the repeated ones are.
     """
     col = F.coalesce(F.col(text), F.lit(""))
-    step = docs.select(packed(docs), col.alias("_t"), words(F.col(text)).alias("_w"))
+    known = F.lit(True) if lang is None else F.coalesce(F.col(lang).isin(*STOP_LANGS), F.lit(False))
+    step = docs.select(packed(docs), col.alias("_t"), words(F.col(text)).alias("_w"), known.alias("_known"))
     step = step.select(
         "_row",
         "_w",
+        F.when(F.col("_known") & (F.size("_w") >= STOP_BASE), F.size("_w")).otherwise(0).cast("long").alias("n_stop_base"),
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -95,6 +101,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.select(
         "_row",
         *MEASURES[:3],
+        "n_stop_base",
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
@@ -131,32 +138,34 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def quality(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, lang: str | None = "lang"
+) -> DataFrame:
     """One row per input row: key, measures, base_failed, kept, failed.
 
-    Only ``key`` and ``text`` are read; a null key stays null. An empty table
-    gives an empty result.
+    Only ``key``, ``text`` and ``lang`` (None: not known) are read; a null key
+    stays null. An empty table gives an empty result.
     """
-    judged = judge(measure(docs.select(key, text), text), rules)
+    judged = judge(measure(docs.select(key, text, *([] if lang is None else [lang])), text, lang), rules)
     return judged.select(F.col("_row")[key].alias(key), *[c for c in judged.columns if c != "_row"])
 
 
-def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, lang: str | None = "lang") -> DataFrame:
     """The rows that pass, with all their columns unchanged."""
     # the row number keeps the filter above the projections, which would be repeated inside it
-    judged = judge(measure(docs, text), rules).withColumn("_n", F.monotonically_increasing_id())
+    judged = judge(measure(docs, text, lang), rules).withColumn("_n", F.monotonically_increasing_id())
     return judged.filter("kept and _n >= 0").select("_row.*")
 
 
 def quality_sql(rules: tuple[Rule, ...] = RULES, source: str = "documents", where: str = "true") -> str:
     """The same in DuckDB's SQL, over whole texts."""
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stop, langs = (", ".join(f"'{w}'" for w in ws) for ws in (STOP_WORDS, STOP_LANGS))
     base = " and ".join(r.sql() for r in BASE_RULES)
     more = " and ".join(r.sql() for r in rules)
     names = ", ".join(f"case when not {r.sql()} then '{r.name}' end" for r in (*BASE_RULES, *rules))
     return f"""
-with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from {source} where {where}),
-w as (select rid, doc_id, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws,
+with t as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t from {source} where {where}),
+w as (select rid, doc_id, lang, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from t),
 g as (select rid, unnest(list_transform(range(1, len(ws) - {WINDOW - 2}), lambda i: array_to_string(list_slice(ws, i, i + {WINDOW - 1}), ' '))) as g,
   unnest(range(1, len(ws) - {WINDOW - 2})) as i from w where len(ws) >= {WINDOW}),
@@ -166,7 +175,8 @@ c as (select rid, sum(least({WINDOW}, nxt - i)) as n from
 m as (select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(ls)::bigint as n_lines,
   (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
-  len(list_filter(ws, lambda x: lower(x) in ({stop})))::bigint as n_stop_words, coalesce(c.n, 0)::bigint as n_repeat_words, 1 as one
+  len(list_filter(ws, lambda x: lower(x) in ({stop})))::bigint as n_stop_words, coalesce(c.n, 0)::bigint as n_repeat_words, 1 as one,
+  case when len(ws) >= {STOP_BASE} and lang in ({langs}) then len(ws) else 0 end::bigint as n_stop_base
   from w left join c using (rid))
 select doc_id, {", ".join(MEASURES)}, not ({base}) as base_failed, ({base}) and {more} as kept,
   array_to_string(list_filter([{names}], lambda x: x is not null), ',') as failed from m"""

@@ -76,3 +76,14 @@ def test_nulls_and_clashing_columns(spark):
     assert quality.quality(df).count() == pii.report(df).count() == mixing.report(df).count() == 4
     assert pii.redact(df).columns == quality.keep_good(df).columns == mixing.select_mix(df).columns == df.columns
     assert toxicity.score(df, toxicity.Model({}, {}, (-3.0, 1.0, 0.0, 0.0))).filter("predicted = 0").count() == 4
+
+
+def test_stop_words_count_only_where_expected(spark):
+    from cellgrove.llm import quality
+
+    long = " ".join(f"worda{i}" for i in range(60))
+    rows = [(1, long, "en"), (2, long, "pl"), (3, long, None), (4, " ".join(long.split()[:40]), "en"), (5, long + " the", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.kept for r in quality.quality(df).collect()} == {1: False, 2: True, 3: True, 4: True, 5: True}
+    assert quality.quality(df.drop("lang"), lang=None).filter("kept").count() == 2
+    assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == [2, 3, 4, 5]
