@@ -3,11 +3,17 @@ reproducible, and ranks inside a class never gather the class in one task."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellgrove.operators.ranking import bucketed_row_number, hash_key, hash_row_number
+from cellgrove.session import cut
+
+#: Groups, or bundles of groups, that one task deals at a time.
+DEAL_AT_ONCE = 2_000
 
 
 def stratified_kfold(df: DataFrame, label: str, id_col: str, k: int, seed: int) -> DataFrame:
@@ -45,6 +51,77 @@ def stratified_group_kfold(df: DataFrame, label: str, group: str, k: int, seed:
     return df.join(dealt, df[group].eqNullSafe(dealt["_g"])).drop("_g")
 
 
+def _deal(items: pd.DataFrame, k: int, held: list[tuple], rest: dict[str, int], turn: int) -> np.ndarray:
+    """A fold for each item: heaviest first, each to the fold that holds least of the classes it brings.
+
+    ``v`` holds (class, count) pairs; counts are taken as shares of their class, so
+    that small classes weigh as much as large ones. ``held`` says what the folds
+    hold already, as (fold, class, count); of that a piece makes up for as much as
+    it has of the ``rest`` of the class. ``turn`` says which fold comes first in ties.
+    """
+    classes = {c: i for i, c in enumerate(sorted({e["c"] for v in items["v"] for e in v}))}
+    counts = np.zeros((len(items), len(classes)))
+    for i, v in enumerate(items["v"]):
+        for e in v:
+            counts[i, classes[e["c"]]] = e["n"]
+    total, start = counts.sum(0), np.zeros((k, len(classes)))
+    for f, c, n in held:
+        if c in classes:
+            start[f, classes[c]] = n * total[classes[c]] / rest[c]
+    scale = total + start.sum(0)
+    shares, folds = counts / scale, start / scale
+    order, chosen = (np.arange(k) - turn) % k, np.zeros(len(items), np.int32)
+    for i in np.argsort(-shares.sum(1), kind="stable"):
+        chosen[i] = np.lexsort((order, np.round(folds.sum(1), 9), np.round(folds @ shares[i], 9)))[0]
+        folds[chosen[i]] += shares[i]
+    return chosen
+
+
+def group_kfold_by_vectors(
+    df: DataFrame, label: str, group: str, k: int, seed: int, at_once: int = DEAL_AT_ONCE
+) -> DataFrame:
+    """No group in two folds, every class spread evenly, by the groups' whole class vectors.
+
+    The ``at_once`` largest groups are dealt first, in one task (``_deal``). The
+    others follow in pieces of about that size, by the rarest class they hold, so
+    that a rare class isn't scattered over pieces; each piece makes up for its
+    share of what the large groups left uneven. Folds differ by about a group a
+    piece at most, so small pieces balance less well. Rows with a null group are one
+    group, a null label is a class of its own. Classes are taken to be few: one
+    count for each class and fold passes through the driver.
+    """
+    named = df.select(F.col(group).alias("_g"), F.to_json(F.struct(F.col(label).alias("l"))).alias("c"))
+    counts = named.groupBy("_g", "c").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("c").agg(F.sum("n").alias("t"))
+    vectors = counts.join(totals, "c").groupBy("_g").agg(
+        F.sort_array(F.collect_list(F.struct("c", "n"))).alias("v"),
+        F.sum("n").alias("size"),
+        F.min_by("c", F.struct("t", "c")).alias("rare"),
+    )
+    groups = cut(vectors.withColumn("_id", hash_key(F.to_json(F.struct("_g")), seed)))
+
+    def dealer(held: list[tuple], rest: dict[str, int]):
+        def run(piece: pd.DataFrame) -> pd.DataFrame:
+            piece = piece.sort_values("_id")
+            turn = int(piece["_id"].iloc[0][:8], 16) % k
+            return pd.DataFrame({"_id": piece["_id"], "fold": _deal(piece, k, held, rest, turn)})
+
+        return run
+
+    large = groups.orderBy(F.desc("size"), "_id").limit(at_once)
+    first = cut(large.withColumn("_p", F.lit("")).groupBy("_p").applyInPandas(dealer([], {}), "_id string, fold int"))
+    left = groups.join(first, "_id", "left_anti")
+    parts = left.groupBy("rare").agg(F.ceil(F.count("*") / at_once).alias("_parts"))
+    tagged = left.join(parts, "rare").withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_parts")))
+    by_class = F.sum("n").alias("n")
+    held = first.join(groups, "_id").select("fold", F.inline("v")).groupBy("fold", "c").agg(by_class).collect()
+    rest = {r.c: r.n for r in left.select(F.inline("v")).groupBy("c").agg(by_class).collect()}
+    run = dealer([(r.fold, r.c, r.n) for r in held], rest)
+    others = tagged.groupBy("rare", "_p").applyInPandas(run, "_id string, fold int")
+    folds = groups.select("_g", "_id").join(first.unionByName(others), "_id").select("_g", "fold")
+    return df.join(folds, df[group].eqNullSafe(folds["_g"])).drop("_g")
+
+
 def fold_crosstab(df: DataFrame, fold: str, label: str, classes: list) -> DataFrame:
     """Rows per fold and class, one column per declared class, zeros kept."""
     return df.groupBy(fold).agg(

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 from cellgrove.operators import components as P
 from cellgrove.operators import masked as M
 from cellgrove.operators.duplicates import ncc_pairs, pair_components
-from cellgrove.operators.folds import stratified_group_kfold, weighted_sample
+from cellgrove.session import cut
+from cellgrove.operators.folds import group_kfold_by_vectors, stratified_group_kfold, weighted_sample
 from cellgrove.operators.graph import connected_components
 from cellgrove.operators.quantiles import group_stats
 from cellgrove.operators.ranking import bucketed_row_number, global_row_number
@@ -122,6 +123,29 @@ def test_group_folds_never_split_a_group(spark):
     assert out.select("fold").distinct().count() == 5
 
 
+@pytest.mark.parametrize("at_once", [2000, 200])
+def test_group_folds_by_vectors_balance_every_class(spark, at_once):
+    # classes mixed within the groups, a rare class, a group of a twelfth of the rows, a null group and null labels
+    rng = np.random.default_rng(5)
+    rows = [(int(g), int(c)) for g in range(1500) for c in rng.choice(4, rng.integers(1, 9), p=[0.6, 0.25, 0.13, 0.02])]
+    rows += [(9999, 0)] * 600 + [(None, 1)] * 40 + [(7, None)] * 3
+    df = spark.createDataFrame(rows, "g long, y long")
+    out = cut(group_kfold_by_vectors(df, "y", "g", 5, 1, at_once))
+    assert out.count() == len(rows)
+    assert out.groupBy("g").agg(F.count_distinct("fold").alias("n")).filter("n > 1").isEmpty()
+    for c in range(4):
+        per = [r["count"] for r in out.filter(F.col("y") == c).groupBy("fold").count().collect()]
+        assert len(per) == 5 and max(per) - min(per) <= (4 if at_once == 2000 else 0.04 * sum(per) + 4), (c, per)
+
+
+def test_group_folds_by_vectors_over_many_equal_groups(spark):
+    df = spark.range(200_000).select((F.col("id") / 2).cast("long").alias("g"), (F.col("id") % 2).alias("y"))
+    per = group_kfold_by_vectors(df, "y", "g", 5, 1).groupBy("fold", "y").count().collect()
+    assert len(per) == 10 and all(abs(r["count"] - 20_000) <= 40 for r in per)
+    empty = df.limit(0)
+    assert group_kfold_by_vectors(empty, "y", "g", 5, 1).count() == 0
+
+
 def test_weighted_sample_follows_the_weights(spark):
     df = spark.range(50)
     out = weighted_sample(df, "id", F.when(F.col("id") == 7, 50.0).otherwise(1.0), 3, n=20000)
