@@ -330,6 +330,23 @@ def _(read):
     return pick(df, "distance", "band", "weight")
 
 
+TRIED = [(3, 0.55), (2, 0.42), (1, None)]
+
+
+@query(
+    "F12_shrink_mask",
+    f"""WITH {MASKED}, d AS (SELECT c.image_id, c.y, c.x, c.fov, coalesce(min(pow(c.y - n.y, 2) + pow(c.x - n.x, 2)), 1e9) AS d2 FROM masked c
+  LEFT JOIN masked n ON n.image_id = c.image_id AND NOT n.fov GROUP BY ALL),
+n AS (SELECT image_id, count(*) FILTER (fov) AS a, {', '.join(f'count(*) FILTER (fov AND d2 > {r * r}) AS n{r}' for r, _ in TRIED)} FROM d GROUP BY image_id)
+SELECT image_id, y, x, fov AND d2 > CASE WHEN n3 >= floor(a * 0.55) THEN 9 WHEN n2 >= floor(a * 0.42) THEN 4 WHEN n1 >= 1 THEN 1 ELSE -1 END AS inner
+FROM d JOIN n USING (image_id)""",
+)
+def _(read):
+    from cellgrove.operators.borders import shrink_mask
+
+    return pick(shrink_mask(masked_cells(read), "fov", "inner", [(F.lit(r), share) for r, share in TRIED]), "inner")
+
+
 OFFSETS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, 3), (2, 2), (3, 0), (2, -2)]
 
 

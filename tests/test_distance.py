@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from cellgrove.operators import borders as B
 from cellgrove.operators import distance as D
+from cellgrove.session import cut
 
 
 def search(wanted, y, x):
@@ -54,3 +56,34 @@ def test_lower_envelope(unit):
 def test_payload_that_is_null_or_text(spark):
     df = spark.createDataFrame([(1, 1, 3, 0, x, t, m) for x, t, m in ((0, None, True), (1, "b", False), (2, "c", True))], "image_id long, h int, w int, y int, x int, t string, m boolean")
     assert [r.f for r in D.fill_nearest(df, "t", "m", "f").orderBy("x").collect()] == [None, None, "c"]
+
+
+def shrunk(mask, attempts):
+    """The first attempt that keeps enough, by plain search; a mask that fills its raster has no outside."""
+    holes = np.argwhere(~mask)
+    far = np.array([[((holes - (y, x)) ** 2).sum(1).min() ** 0.5 if len(holes) else np.inf for x in range(mask.shape[1])] for y in range(mask.shape[0])])
+    for radius, share in attempts:
+        left = mask & (far > radius)
+        if left.sum() >= (1 if share is None else int(share * mask.sum())):
+            return left
+    return mask
+
+
+def test_shrunk_masks_fall_back_by_what_is_left(spark, grid, back):
+    y, x = np.mgrid[:44, :52]
+    masks = {
+        1: (y - 22) ** 2 + (x - 26) ** 2 <= 400,  # loses too much at the first radius
+        2: (y >= 10) & (y < 34) & (x > 1) & (x < 50),
+        3: (y == 20) & (x > 3),  # nothing would be left
+        4: np.zeros((44, 52), bool),
+        5: np.ones((44, 52), bool),
+        6: (y > 0) & (x > 0),
+    }
+    df = grid({i: {"m": m} for i, m in masks.items()})
+    df = cut(B.exclude_outer_line(B.suppress_border(B.outer_band(df, "m", "band"), "m", "a"), "m", "b"))
+    got = {i: {c: back(df, c, i) for c in ("band", "a", "b")} for i in masks}
+    for i, m in masks.items():
+        # side 44: 18, 16 and 28, the least radii
+        assert (got[i]["a"] == shrunk(m, [(18, 0.42), (9, None)])).all(), i
+        assert (got[i]["b"] == shrunk(m, [(16, 0.55), (8, 0.42), (4, None)])).all(), i
+        assert (got[i]["band"] == (m & ~shrunk(m, [(28, 0.0)]))).all(), i
