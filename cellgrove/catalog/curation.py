@@ -116,6 +116,12 @@ def _(read):
     return dealt.select("doc_id", "lang", "source", "fold")
 
 
+@query("B7_group_kfold_vectors")
+def _(read):
+    orders = read("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return S.group_kfold_by_vectors(orders, "o_orderpriority", "o_custkey", 5, SEED)
+
+
 @query(
     "B8_fold_crosstab",
     f"""WITH {RANKED} SELECT CAST((rn - 1) % 5 AS INTEGER) AS fold, {', '.join(f"count(*) FILTER (lang = '{c}') AS {c}" for c in LANGS)}
@@ -240,6 +246,25 @@ def _(read):
     return C.pair_files(listing(read("documents"), "images", ".jpg"), listing(read("labels"), "masks", ".png"))
 
 
+@query(
+    "A4_pair_files_fallback",
+    """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN '/masks/' WHEN doc_id % 2 = 0 THEN '/Masks/' ELSE '/mask/' END AS folder FROM labels)
+SELECT source, concat(doc_id, '.png') AS name, concat('/images/', doc_id, '.png') AS image_path, concat(folder, doc_id, '.png') AS mask_path,
+  CAST(NULL AS BIGINT) AS stem_number FROM documents JOIN m USING (doc_id)""",
+)
+def _(read):
+    # masks by full name, from the first spelling of the folder that has one
+    name = F.concat(F.col("doc_id"), F.lit(".png"))
+    rows = read("labels").join(read("documents").select("doc_id", "source"), "doc_id")
+    found = lambda folder, where: rows.filter(where).select(
+        "source", name.alias("file"), F.concat(F.lit(folder), name).alias("path")
+    )
+    spellings = [found("/masks/", "doc_id % 3 <> 0"), found("/Masks/", "doc_id % 2 = 0"), found("/mask/", "true")]
+    masks = C.prefer_first(spellings, ["source", "file"])
+    images = read("documents").select("source", F.concat(F.lit("/images/"), name).alias("path"))
+    return C.pair_files(images, masks, "name")
+
+
 @query(
     "A7_incremental_build",
     "SELECT doc_id, upper(lang) AS built FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

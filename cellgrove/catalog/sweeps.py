@@ -12,6 +12,7 @@ from cellgrove.operators import sweep as J
 from cellgrove.operators.cells import join_stats
 from cellgrove.operators.evaluate import confusion_counts, overlap_metrics
 from cellgrove.operators.folds import stratified_split
+from cellgrove.session import cut
 
 DENSITIES = [0.08, 0.10, 0.12, 0.14, 0.16, 0.18]
 QS = ", ".join(f"quantile_cont(v, 1.0 - {d}) AS q{i}" for i, d in enumerate(DENSITIES))
@@ -56,6 +57,27 @@ def _(read):
     return grid.select("*", images.scalar().alias("images"))
 
 
+#: Fixed values of the second grid, one list a parameter.
+RECOVERY = {
+    "residual_low_mult": [1.10, 1.22, 1.35, 1.50],
+    "axis_ratio": [2.0, 2.3, 2.6],
+    "skeleton_length": [8, 12, 18],
+    "branch_density": [0.10, 0.15, 0.20],
+}
+
+
+@query(
+    "J1_derived_grid",
+    f"""{POOLED}, b AS (SELECT density FROM (SELECT density FROM res ORDER BY dice DESC, density LIMIT 1) UNION SELECT density FROM (SELECT density FROM res ORDER BY sensitivity DESC, density LIMIT 1))
+SELECT density, dice, sensitivity, {', '.join(f'{n} AS {n}' for n in RECOVERY)} FROM (SELECT density, round(dice, 6) AS dice, round(sensitivity, 6) AS sensitivity FROM res WHERE density IN (SELECT density FROM b)),
+{', '.join(f"(SELECT unnest({v}::{'INTEGER' if n == 'skeleton_length' else 'DOUBLE'}[]) AS {n})" for n, v in RECOVERY.items())}""",
+)
+def _(read):
+    res = cut(sweep(read))
+    bases = res.join(J.shortlist(res, "density", ["dice", "sensitivity"], 1), "density", "left_semi")
+    return J.extend_grid(rounded(bases.select("density", "dice", "sensitivity")), RECOVERY)
+
+
 @query(
     "J2_dedupe_configs",
     """SELECT l_discount, l_tax, l_returnflag, first_line FROM (SELECT round(l_discount + 0.000001, 5) AS l_discount, round(l_tax, 5) AS l_tax, l_returnflag,
