@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from cellgrove.catalog import query
@@ -91,6 +93,11 @@ def _(read):
     return pick(P.fuse_sources(photo(read), {"C6G6": 0.6, "FlatSub+G6": 0.4}, P.SMALL), "combined")
 
 
+@query("P2_fuse_maps")
+def _(read):
+    return pick(P.fuse_maps(photo(read), P.SMALL), "map_c6", "map_flat", "map_green", "combined")
+
+
 @query("P3_boost_dark")
 def _(read):
     return pick(run_recipe(photo(read), P.boost_dark(P.SMALL), ["boosted"]), "boosted")
@@ -170,6 +177,21 @@ def _(read):
     return pick(P.build_channels(mosaic(photo(read)), "maps", P.FULL), "c0", "c1", "c2")
 
 
+#: Mosaics of 64 x 64 are too small for the full erosion of 35 cells.
+DISC = replace(P.FULL, disc_erode=3)
+
+
+@query("P4_disc_circles")
+def _(read):
+    return rounded(P.disc_circles(mosaic(photo(read)), z=DISC))
+
+
+@query("P4_drop_disc")
+def _(read):
+    df = mosaic(photo(read)).withColumn("seg", F.col("fov") & (F.col("green") > 150))
+    return P.drop_disc(df, "seg", "kept", z=DISC).select("image_id", "y", "x", "seg", "kept")
+
+
 @query("P7_mask_variants_full_sizes")
 def _(read):
     return P.mask_variants(mosaic(maps(read)), P.FULL).select("image_id", "y", "x", "variant", "mask")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,16 +35,18 @@ def thin_edges(df: DataFrame, value: str, low: float, high: float, out: str = "e
     return hysteresis(marked, "_st", "_wk", out).drop("_st", "_wk", "_mag", *shifts)
 
 
-def circle_votes(edges: DataFrame, radii: list[int], edge: str = "edge") -> DataFrame:
+def circle_votes(edges: DataFrame, radii: list[int], edge: str = "edge", below: Column | None = None) -> DataFrame:
     """Votes for each (image, centre, radius), and ``score``, their share of the circle's length.
 
     An edge cell votes where the centre would be along its gradient, on either
     side, and for the eight cells around, since a gradient of a raster is that
-    inexact. Votes are one hash aggregate, summed map-side.
+    inexact. Votes are one hash aggregate, summed map-side. ``below`` limits the
+    radii by an image's size.
     """
     sides = F.explode(F.array(F.lit(-1.0), F.lit(1.0)))
     rows = edges.filter(F.col(edge) & ((F.col("_gx") != 0) | (F.col("_gy") != 0)))
-    rows = rows.withColumn("r", F.explode(F.array(*[F.lit(r) for r in radii]))).withColumn("_s", sides)
+    rows = rows.withColumn("r", F.explode(F.array(*[F.lit(r) for r in radii])))
+    rows = (rows if below is None else rows.filter(F.col("r") < below)).withColumn("_s", sides)
     size = F.hypot("_gx", "_gy")
     at = lambda c, g: F.bround(F.col(c) + F.col("_s") * F.col("r") * F.col(g) / size, 0).cast("int")
     exact = rows.select("image_id", "h", "w", "r", at("y", "_gy").alias("_cy"), at("x", "_gx").alias("_cx"))

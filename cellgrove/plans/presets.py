@@ -10,10 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cellgrove.functions import kernels as K
 from cellgrove.operators import filters as T
+from cellgrove.operators.circles import circle_peaks, circle_votes, drop_at_circles, thin_edges
 from cellgrove.plans.recipe import Step, run_recipe, run_variants, step
+from cellgrove.session import cut
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,7 @@ class Sizes:
     min_area: int = 16
     border: int = 3
     edge_margin: int = 24
+    disc_erode: int = 35
     fine_area: int = 25
     fine_length: int = 12
     outline: float = 26.0
@@ -248,6 +252,37 @@ def fuse_sources(df: DataFrame, weights: dict[str, float], z: Sizes = FULL) -> D
     return run_recipe(df, [*steps, *filter_stack(z)], ["fov", "source", "combined"])
 
 
+def green_maps(z: Sizes = FULL, out: str = "combined") -> list[Step]:
+    """P2. Matched lines and ridges of the equalised green channel alone."""
+    return [
+        *_green_clahe(2.5, z, "ge"),
+        step("sql", "ginv", text="if(fov, 255D - floor(ge), 255D)"),
+        step("normalise", "gn", value="ginv", mask="fov"),
+        step("bank", "gm0", value="gn", bank=T.matched_bank(z.matched, z.matched_step), border="reflect"),
+        _zero("gm0", "gmz"),
+        step("normalise", "gmatched", value="gmz", mask="fov"),
+        step("hessian", "gjerman", value="gn", sigmas=z.jerman, method="jerman", mask="fov", radius=z.hessian_radius),
+        step("fuse", "gmix", weights={"gmatched": 0.6, "gjerman": 0.4}, mask="fov", scale=False),
+        step("normalise", out, value="gmix", mask="fov"),
+    ]
+
+
+def fuse_maps(df: DataFrame, z: Sizes = FULL) -> DataFrame:
+    """P2. Whole filter stacks of two sources and the plain green maps, fused as maps."""
+    keep = [c for c in df.columns if c not in ("image_id", "h", "w", "y", "x")]
+    maps = {"map_c6": "C6G6", "map_flat": "FlatSub+G6"}
+    for name, source in maps.items():
+        df = cut(run_recipe(df, [*source_recipe(source, z), *filter_stack(z, out=name)], [*keep, name]))
+        keep.append(name)
+    steps = [
+        *green_maps(z, "map_green"),
+        # fixed values
+        step("fuse", "mapmix", weights={"map_c6": 0.45, "map_flat": 0.35, "map_green": 0.20}, mask="fov", scale=False),
+        step("normalise", "combined", value="mapmix", mask="fov"),
+    ]
+    return run_recipe(df, steps, ["fov", "map_c6", "map_flat", "map_green", "combined"])
+
+
 def boost_dark(z: Sizes = FULL, source: str = "green", out: str = "boosted") -> list[Step]:
     """P3. Flatten, deepen small dark structures found at several scales, stretch."""
     steps = [
@@ -614,3 +649,33 @@ def rim_mask(z: Sizes = FULL) -> list[Step]:
         step("dilate", "hugd", value="hug", element=K.ellipse(2 * z.rim_grow + 1)),
         step("sql", "rim", text="hugd and band and fov"),
     ]
+
+
+def disc_circles(df: DataFrame, value: str = "red", z: Sizes = FULL, n: int = 8) -> DataFrame:
+    """P4, P8. The best circles of the bright disc: edges of a band-passed red channel well inside the mask vote.
+
+    Edge magnitudes are Euclidean. The result has one row for each image and rank.
+    """
+    steps = [
+        step("edge_distance", "away", mask="fov"),
+        step("sql", "inside", text=f"fov and away > {z.disc_erode}D"),
+        step("sql", "dred", text=f"if(inside, {value}, 0D) * 1D"),
+        step("gaussian", "dnear", value="dred", sigma=2.0, border="reflect101"),
+        step("gaussian", "dwide", value="dred", sigma=8.0, border="reflect101"),
+        step("sql", "dog", text="dnear - dwide"),
+        step("normalise", "dogn", value="dog", mask="inside"),
+        _u8("dogn", "dog8", "inside"),
+        step("gradient", "dgrad", value="dog8"),
+        step("normalise", "dgradn", value="dgrad", mask="inside"),
+        _u8("dgradn", "dgrad8", "inside"),
+    ]
+    edges = cut(thin_edges(run_recipe(df, steps, ["dgrad8"]), "dgrad8", 40.0, 120.0))
+    # fixed values: radii from 10 in steps of 4, below a third of the shorter side (at least 12) and 101
+    below = F.least(F.lit(101), F.greatest(F.lit(12), F.floor(F.least("h", "w") / 3)))
+    return circle_peaks(circle_votes(edges, list(range(10, 101, 4)), below=below), n)
+
+
+def drop_disc(df: DataFrame, mask: str, out: str, value: str = "red", z: Sizes = FULL) -> DataFrame:
+    """P4, P8. A segmentation without the compact blob at the best disc circle that has one."""
+    dropped = drop_at_circles(df, mask, disc_circles(df, value, z), out)
+    return dropped.withColumn(out, F.col(out) & F.col("fov"))
