@@ -105,8 +105,8 @@ def with_background(read):
     "C6_residual_contrast",
     f"""WITH {U8}, {BOXED}, s AS (SELECT image_id, median(v8 - bg) AS mid, quantile_cont(v8 - bg, 0.01) AS lo, quantile_cont(v8 - bg, 0.99) AS hi
   FROM bg WHERE fov GROUP BY image_id),
-r AS (SELECT image_id, y, x, fov, least(greatest((mid - (v8 - bg)) / greatest(mid - lo, 1.0), 0.0), 1.0) AS dark,
-  least(greatest((v8 - bg - mid) / greatest(hi - mid, 1.0), 0.0), 1.0) AS bright FROM bg JOIN s USING (image_id))
+r AS (SELECT image_id, y, x, fov, least(greatest(round(mid - (v8 - bg), 9) / greatest(mid - lo, 1.0), 0.0), 1.0) AS dark,
+  least(greatest(round(v8 - bg - mid, 9) / greatest(hi - mid, 1.0), 0.0), 1.0) AS bright FROM bg JOIN s USING (image_id))
 SELECT image_id, y, x, CASE WHEN fov THEN floor(least(greatest(round(142.0 - 118.0 * pow(dark, 0.72) + 34.0 * pow(bright, 1.55), 9), 0.0), 255.0)) ELSE 0.0 END AS bent FROM r""",
 )
 def _(read):
