@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellgrove.operators import components as P
+from cellgrove.operators.cells import bound
 from cellgrove.operators.filters import gradient
 from cellgrove.operators.neighbourhood import correlate_many
 from cellgrove.operators.threshold import hysteresis
@@ -97,7 +98,7 @@ def drop_at_circles(
     local = lambda c: (F.col(c) - F.col(f"c{c}") + half).cast("int").alias(c)
     held = cells.filter(window).select(
         F.struct("image_id", "rank", "cy", "cx").alias("image_id"),
-        F.lit(2 * half).alias("h"),
+        F.lit(2 * half).alias("h", metadata=bound(2 * half, 2 * half)),
         F.lit(2 * half).alias("w"),
         local("y"),
         local("x"),
