@@ -149,8 +149,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 WIDE, BOX, WIDE_CHAIN = 1024, 64, 4
 #: Members of a key that are compared by a join; more are compared in blocks of this many.
 SMALL, CROWD_BLOCK = 24, 256
-#: Documents, about, whose shingles tell the common ones; in how many of them and how many are told at most.
-SAMPLE, SEEN, COMMON = 8192, 3, 1 << 18
+#: Buckets that occurrences of shingles are counted in, and how many of them travel in one row.
+BUCKETS, SLICE = 1 << 20, 1 << 10
 _FEW = 4096
 
 
@@ -197,20 +197,40 @@ def prefix_keys(hashes: np.ndarray, similarity: float, common: np.ndarray, count
     return hashes[np.lexsort((hashes, seen))[:n]].view(np.int64)
 
 
-def _common(texts: DataFrame, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes that are common in a sample of the distinct texts (``id``, ``_t``), sorted, and in how many."""
-    part = min(1 << 20, SAMPLE * (1 << 20) // max(rows, 1))
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """In how many rows of all texts (``_t``) shingles of each bucket are, a row counting once for each of its shingles.
+
+    Every row counts, copies too, so a passage never counts less than what is around
+    it, and the counts are the same however rows are dealt. A task holds one count a
+    bucket and sends them in slices; what reaches the driver is one count a bucket.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for t in b["_t"]:
+                np.add.at(seen, _bucket(shingle_hashes(t, size)), 1)
+        if seen.any():
+            yield rows(enumerate(seen.reshape(-1, SLICE)))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
         for b in batches:
-            yield pd.DataFrame({"h": np.concatenate([shingle_hashes(t, size) for t in b["_t"]] or [np.zeros(0, np.uint64)]).view(np.int64)})
+            for n, counts in zip(b["slice"], b["counts"]):
+                totals[n] = totals.get(n, 0) + np.frombuffer(counts, np.int64)
+        if totals:
+            yield rows(totals.items())
 
-    some = texts.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part).dropDuplicates(["id"])
-    counts = some.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN)
-    told = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    common = told["h"].to_numpy(np.int64).view(np.uint64)
-    order = common.argsort()
-    return common[order], told["n"].to_numpy(np.int64)[order]
+    rows = lambda found: pd.DataFrame([(n, c.tobytes()) for n, c in found], columns=["slice", "counts"])
+    kind = "slice int, counts binary"
+    out = np.zeros((BUCKETS // SLICE, SLICE), np.int64)
+    for r in texts.select("_t").mapInPandas(count, kind).repartition("slice").mapInPandas(add, kind).collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    return out.reshape(-1)
 
 
 def _parts_of(near: np.ndarray, ids: list) -> list[tuple]:
@@ -296,19 +316,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     stays; rows without key come last, equal keys are told apart by text, and of
     equal rows one stays. Equal texts collapse before anything is compared.
     Candidates share one of the rarest shingles of both (``prefix_keys``), which
-    misses no pair of that similarity; a sample of the texts tells which shingles
-    are common.
+    misses no pair of that similarity; which are rare is counted over all rows.
     """
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     order = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), digest.alias("id"))
     least = cut(docs.select(order.alias("o")).groupBy("o.id").agg(F.min("o").alias("o")))
     texts = docs.select(F.col(text).alias("_t"), digest.alias("id"))
-    shared = docs.sparkSession.sparkContext.broadcast(_common(texts, least.count(), size))
+    shared = docs.sparkSession.sparkContext.broadcast(bucket_counts(texts, size))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_hashes(t, size) for t in b["_t"]]
-            keys = [prefix_keys(h, similarity, *shared.value) for h in sets]
+            keys = [prefix_keys(h, similarity, h, shared.value[_bucket(h)]) for h in sets]
             yield pd.DataFrame({"id": b["id"], "n_set": [len(h) for h in sets], "keys": keys, "fp": [_wide(h, WIDE).view(np.int64) for h in sets]})
 
     prints = texts.mapInPandas(run, "id binary, n_set long, keys array<long>, fp array<long>")

@@ -58,3 +58,15 @@ def test_prefix_keys_miss_nothing():
         counts = rng.integers(3, 9, len(common))
         if jaccard(set(a.tolist()), set(b.tolist())) >= 0.8:
             assert set(S.prefix_keys(a, 0.8, common, counts).tolist()) & set(S.prefix_keys(b, 0.8, common, counts).tolist())
+
+
+def test_every_row_counts_towards_the_order_of_keys(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(60))) for _ in range(700)] + ["a a a a a a a a"] * 40 + [None, ""]
+    want = np.zeros(S.BUCKETS, np.int64)
+    for t in texts:
+        want[[int(h) % S.BUCKETS for h in S.shingle_hashes(t)]] += 1
+    df = spark.createDataFrame([(t,) for t in texts], "_t string")
+    for parts in (1, 7):
+        assert (S.bucket_counts(df.repartition(parts), 5) == want).all()
+    assert want.max() >= 40
