@@ -110,3 +110,16 @@ def test_triangle_over_held_bins_is_that_over_all(small, power):
         tried = [(below[b], -along[b], b) for b in range(bins) if 0 <= along[b] < width]
         want = lo + (max(tried)[2] + 0.5) * (hi - lo) / bins if tried else None
         assert got[image] == (want if want is None else pytest.approx(want))
+
+
+def test_steps_share_the_partitions_of_an_image(small):
+    steps = [
+        step("normalise", "a", value="n", mask="fov"),
+        step("edge_distance", "e", mask="fov"),
+        step("sql", "b", text="a > 0.6"),
+        step("min_area", "d", mask="b", n=3),
+        step("dilate", "f", value="d", element=[(0, 0), (0, 1)]),
+    ]
+    text = run_recipe(small, steps, ["e", "f"])._jdf.queryExecution().executedPlan().toString()
+    # one before the distances, one after them for the labels, one after those for all that follows
+    assert text.count("Exchange hashpartitioning") <= 3 + ("REPARTITION_BY_NUM" in text)
