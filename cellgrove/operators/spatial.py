@@ -30,8 +30,13 @@ def _near(left: DataFrame, right: DataFrame, size: int) -> DataFrame:
     return met.filter(close).drop("_by", "_bx")
 
 
+def length(y: Column, x: Column) -> Column:
+    """Root of the sum of squares. ``hypot`` may round it otherwise, and an order by scores that are equal on paper goes by the last bit."""
+    return F.sqrt(y * y + x * x)
+
+
 def distance() -> Column:
-    return F.hypot((F.col("r_y") - F.col("y")).cast("double"), (F.col("r_x") - F.col("x")).cast("double"))
+    return length((F.col("r_y") - F.col("y")).cast("double"), (F.col("r_x") - F.col("x")).cast("double"))
 
 
 def outward_direction(endpoints: DataFrame, lines: DataFrame, radius: int = 7, k: int = 6) -> DataFrame:
@@ -47,7 +52,7 @@ def outward_direction(endpoints: DataFrame, lines: DataFrame, radius: int = 7, k
     mean = inner.groupBy("image_id", "y", "x").agg(
         (F.col("y") - F.avg("r_y")).alias("_vy"), (F.col("x") - F.avg("r_x")).alias("_vx")
     )
-    norm = F.hypot("_vy", "_vx")
+    norm = length(F.col("_vy"), F.col("_vx"))
     unit = mean.select(
         "image_id",
         "y",
@@ -76,14 +81,15 @@ def pair_candidates(
     known = points.filter("dy is not null")
     met = _near(known, known, hi).filter("(y < r_y or (y = r_y and x < r_x)) and comp <> r_comp")
     gap = distance()
-    vy, vx = (F.col("r_y") - F.col("y")) / F.col("gap"), (F.col("r_x") - F.col("x")) / F.col("gap")
+    # multiplied before the division, as in the SQL: the last bit ranks scores that are equal on paper
+    ahead = lambda dy, dx: F.col(dy) * (F.col("r_y") - F.col("y")) / F.col("gap") + F.col(dx) * (F.col("r_x") - F.col("x")) / F.col("gap")
     scored = (
         met.withColumn("gap", gap)
         .filter((F.col("gap") >= lo) & (F.col("gap") <= hi))
         .withColumns(
             {
-                "align_first": F.col("dy") * vy + F.col("dx") * vx,
-                "align_second": -(F.col("r_dy") * vy + F.col("r_dx") * vx),
+                "align_first": ahead("dy", "dx"),
+                "align_second": -ahead("r_dy", "r_dx"),
             }
         )
         .filter((F.col("align_first") >= first_floor) & (F.col("align_second") >= second_floor))
