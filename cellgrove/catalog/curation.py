@@ -64,7 +64,7 @@ pairs AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS ncc FROM un
 
 @query("B3_ncc_pairs", f"WITH {NCC.format(t=0.40)} SELECT a, b, round(ncc, 6) AS ncc FROM pairs")
 def _(read):
-    return rounded(D.ncc_pairs(read("embeddings"), "vec_id", "embedding", 0.40, 64))
+    return rounded(D.ncc_pairs(read("embeddings"), "vec_id", "embedding", 0.40, 64, star=False))
 
 
 @query(
